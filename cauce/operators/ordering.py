@@ -14,8 +14,12 @@ range partitions:
 4. add the offset back through a broadcast join (its size is the partition
    count, a parameter, not the data).
 
-The ordering keys must be unique (append an id) so repeated evaluation gives
-the same ranks.
+The ordering keys must be unique (append an id). The locally numbered frame
+is materialised with a reliable ``checkpoint`` (in the shared folder named
+by ``spark.checkpoint.dir``) before offsets are joined back: partition ids
+are then facts on disk, not something a later re-plan (AQE local shuffle
+reads, retries after a lost executor) could renumber, and the lineage of
+long pipelines is cut at that point.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ def global_row_number(df: DataFrame, order: list[Column | str], out: str = "rn",
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     local = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(
         _LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
+    local = local.checkpoint(eager=True)
     counts = local.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         _PID,
@@ -66,7 +71,7 @@ def row_number_in_group(df: DataFrame, group: list[str], order: list[Column | st
     return ranked.join(starts, group).withColumn(out, F.col("__g") - F.col("__start") + 1).drop("__g", "__start")
 
 
-def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], n_partitions: int | None = None,
+def cumulative_sums(df: DataFrame, order_col: str | list[str], sum_cols: list[str], n_partitions: int | None = None,
                     suffix: str = "_cum") -> DataFrame:
     """Running totals of ``sum_cols`` in ``order_col`` order (inclusive); ``order_col`` unique.
 
@@ -75,7 +80,8 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], n_partit
     of the sorted partition; no single-task window over the whole frame.
     """
     n = _n_partitions(df, n_partitions)
-    ranged = (df.repartitionByRange(n, F.col(order_col)).sortWithinPartitions(order_col)
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id()))
     totals = ranged.groupBy(_PID).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -95,7 +101,9 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], n_partit
                 pdf[f"__l_{c}"] = run
             yield pdf
 
-    local = ranged.mapInPandas(_running, schema)
+    local = ranged.mapInPandas(_running, schema).checkpoint(eager=True)
+    totals = local.groupBy(_PID).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    offsets = totals.select(_PID, *[F.coalesce(F.sum(f"__t_{c}").over(w_off), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
     out = local.join(F.broadcast(offsets), _PID)
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"__o_{c}") + F.col(f"__l_{c}"))

@@ -15,7 +15,21 @@ def cte(name: str, body: str, deps: list[str] | None = None) -> None:
     CTES[name] = (body, deps or [])
 
 
-def sql(body: str, *names: str) -> str:
+class SQLText:
+    """SQL body + CTE names, rendered when first read (CTEs may be declared later)."""
+
+    def __init__(self, body: str, names: tuple[str, ...]):
+        self.body, self.names = body, names
+
+    def render(self) -> str:
+        return _render(self.body, *self.names)
+
+
+def sql(body: str, *names: str) -> SQLText:
+    return SQLText(body, names)
+
+
+def _render(body: str, *names: str) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:

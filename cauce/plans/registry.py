@@ -13,13 +13,18 @@ class Query:
     name: str
     ops: str  # inventory ids covered, e.g. "V-05, W-01"
     run: Callable[[SparkSession, str], DataFrame]
-    oracle: str | None
+    oracle: object | None  # SQLText or str
+
+    def oracle_text(self) -> str | None:
+        if self.oracle is None:
+            return None
+        return self.oracle if isinstance(self.oracle, str) else self.oracle.render()
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, ops: str, oracle: str | None = None):
+def register(name: str, ops: str, oracle: object | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
