@@ -1 +1,184 @@
-"""Queries (registered on import)."""
+"""Next-best-offer decision, channel scorer and backtest queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cauce import fixed
+from cauce.operators import nbo
+from cauce.plans.oracle import cte, pick, sql
+from cauce.plans.registry import register
+from cauce.sources import derived
+
+DIGITS = 10
+
+
+def _catalog_values() -> str:
+    rows = []
+    for idx, (pid, margin, (ra, rb, rc), term, mn, mx, cats, amin, amax, score, nodel, gender, prereq) in enumerate(fixed.PRODUCT_CATALOG):
+        cats_sql = "[" + ", ".join(f"'{c}'" for c in cats) + "]"
+        g = f"'{gender}'" if gender else "NULL"
+        pr = f"'{prereq}'" if prereq else "NULL"
+        rows.append(f"('{pid}', {margin}, {ra}, {rb}, {rc}, {term}, {mn}, {mx}, {cats_sql}, {amin}, {amax}, {score}, {str(nodel).upper()}, {g}, {pr}, {idx})")
+    return ("SELECT col0 AS product_id, CAST(col1 AS DOUBLE) AS margin, CAST(col2 AS DOUBLE) AS rate_a, CAST(col3 AS DOUBLE) AS rate_b,"
+            " CAST(col4 AS DOUBLE) AS rate_c, col5 AS term_months, CAST(col6 AS DOUBLE) AS min_amount_smmlv,"
+            " CAST(col7 AS DOUBLE) AS max_amount_smmlv, col8 AS allowed_categories, col9 AS min_age, col10 AS max_age,"
+            " CAST(col11 AS DOUBLE) AS min_internal_score, col12 AS requires_no_delinquency, CAST(col13 AS VARCHAR) AS gender_restriction,"
+            " CAST(col14 AS VARCHAR) AS prerequisite_product, CAST(col15 AS BIGINT) AS idx FROM (VALUES " + ", ".join(rows) + ")")
+
+
+cte("catalog", _catalog_values())
+cte("holdings", """
+SELECT o_custkey, count(*) AS n_orders, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS n_pending,
+       max(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS has_mortgage
+FROM orders GROUP BY o_custkey""")
+cte("members", f"""
+SELECT CAST(100000000 + c_custkey AS VARCHAR) AS member_id,
+       CASE WHEN 1400000 + (c_custkey * 7919 % 9000) * 1000 <= 2847000 THEN 'A'
+            WHEN 1400000 + (c_custkey * 7919 % 9000) * 1000 <= 5694000 THEN 'B' ELSE 'C' END AS category,
+       CAST(18 + c_custkey * 31 % 52 AS DOUBLE) AS age,
+       CAST(1400000 + (c_custkey * 7919 % 9000) * 1000 AS DOUBLE) AS income,
+       CAST(c_custkey * 7 % 120 AS DOUBLE) AS job_tenure_months,
+       {pick('c_custkey', 3, ['indefinido', 'fijo', 'prestacion'])} AS contract_type,
+       CAST(c_custkey * 17 % 801 AS DOUBLE) / 800 AS internal_score,
+       CAST(c_custkey * 11 % 60 AS DOUBLE) / 100 AS debt_ratio,
+       CASE WHEN c_custkey % 100 >= 94 THEN 1.0 ELSE 0.0 END AS current_delinquency,
+       CAST(coalesce(h.has_mortgage, 0) AS DOUBLE) AS has_mortgage,
+       CAST(c_custkey * 29 % 101 AS DOUBLE) AS digital_affinity,
+       CAST(coalesce(h.n_orders, 0) AS DOUBLE) AS n_orders,
+       CAST(coalesce(h.n_pending, 0) AS DOUBLE) AS n_pending,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
+       c_custkey % 100 < 62 AS consent_whatsapp, c_custkey % 7 <> 0 AS has_phone,
+       c_custkey % 25 < 12 AS consent_email, (c_custkey % 11 <> 0 AND c_custkey % 11 <> 5) AS has_email
+FROM customer LEFT JOIN holdings h ON c_custkey = h.o_custkey""", ["holdings"])
+cte("scores", """
+SELECT m.member_id, (m.n_pending + 1.0) / (m.n_orders + 6.0) * 0.5 AS pd, c.product_id,
+       CAST((((CAST(m.member_id AS BIGINT) - 100000000) * (2 * c.idx + 3) + 17 * c.idx) % 50) AS DOUBLE) / 100 AS p_accept
+FROM members m, (SELECT product_id, idx FROM catalog) c""", ["members", "catalog"])
+cte("evaluated", """
+SELECT *, CASE WHEN ineligible_reason IS NULL AND risk_tier <> 'high'
+               THEN p_accept * (amount / CAST(1423500 AS DOUBLE)) * (margin - pd * 0.45) END AS ev,
+          amount * i / (1 - pow(1 + i, -term_months)) AS instalment
+FROM (
+  SELECT member_id, product_id, p_accept, pd, margin, term_months, risk_tier, annual_rate, i,
+         CASE WHEN NOT coalesce(list_contains(allowed_categories, category), false) THEN 'category'
+              WHEN age < min_age OR age > max_age THEN 'age'
+              WHEN job_tenure_months < CASE WHEN contract_type = 'indefinido' THEN 2 ELSE 6 END THEN 'job_tenure'
+              WHEN internal_score < min_internal_score THEN 'score'
+              WHEN requires_no_delinquency AND current_delinquency <> 0 THEN 'delinquency'
+              WHEN gender_restriction IS NOT NULL AND coalesce(gender, '') <> gender_restriction THEN 'gender'
+              WHEN prerequisite_product = 'mortgage' AND has_mortgage <> 1 THEN 'prerequisite'
+              WHEN annual_rate IS NULL OR capped IS NULL OR capped < min_amount_smmlv * 1423500 THEN 'capacity' END AS ineligible_reason,
+         CASE WHEN risk_tier = 'medium' THEN greatest(capped * 0.5, min_amount_smmlv * 1423500) ELSE capped END AS amount
+  FROM (
+    SELECT *, CASE WHEN income <= 1423500 THEN least(capped0, 1500000.0) ELSE capped0 END AS capped
+    FROM (
+      SELECT *, least(income * (1 - debt_ratio) * 0.30 * (1 - pow(1 + i, -term_months)) / i, income * 3.0, max_amount_smmlv * 1423500) AS capped0
+      FROM (
+        SELECT s.member_id, s.product_id, s.p_accept, s.pd, c.* EXCLUDE (product_id), m.* EXCLUDE (member_id),
+               CASE m.category WHEN 'A' THEN c.rate_a WHEN 'B' THEN c.rate_b WHEN 'C' THEN c.rate_c END AS annual_rate,
+               pow(1 + CASE m.category WHEN 'A' THEN c.rate_a WHEN 'B' THEN c.rate_b WHEN 'C' THEN c.rate_c END, CAST(1 AS DOUBLE) / 12) - 1 AS i,
+               CASE WHEN s.pd <= 0.10 THEN 'low' WHEN s.pd <= 0.20 THEN 'medium' ELSE 'high' END AS risk_tier
+        FROM scores s JOIN catalog c ON s.product_id = c.product_id JOIN members m ON s.member_id = m.member_id) a) b) c) d""",
+    ["scores", "catalog", "members"])
+cte("ranked", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY ev DESC, product_id) AS "rank"
+               FROM evaluated WHERE ev > 0) r WHERE "rank" <= 3""", ["evaluated"])
+
+
+def _ctx(spark, sf_dir):
+    members = derived.member_features(spark, sf_dir)
+    scores = derived.member_scores(spark, sf_dir)
+    evaluated = nbo.evaluate_products(members, scores, nbo.product_catalog(spark))
+    return members, evaluated
+
+
+@register("nbo_eligibility", "J-06, J-13, F-09, F-10, F-11, F-13, V-20", sql(f"""
+SELECT member_id, product_id, risk_tier, ineligible_reason,
+       CAST(round(amount) AS BIGINT) AS amount, CAST(round(instalment) AS BIGINT) AS instalment, round(ev, {DIGITS}) + 0.0 AS ev
+FROM evaluated""", "evaluated"))
+def nbo_eligibility(spark, sf_dir):
+    _, ev = _ctx(spark, sf_dir)
+    return ev.select("member_id", "product_id", "risk_tier", "ineligible_reason",
+                     F.round("amount").cast("bigint").alias("amount"), F.round("instalment").cast("bigint").alias("instalment"),
+                     F.round("ev", DIGITS).alias("ev"))
+
+
+@register("nbo_ranked_offers", "P-03, F-12, W-02", sql(f"""
+SELECT member_id, product_id, CAST("rank" AS INTEGER) AS "rank", CASE WHEN "rank" = 1 THEN 'primary' ELSE 'alternative' END AS role,
+       risk_tier, CAST(round(amount) AS BIGINT) AS amount, round(ev, {DIGITS}) AS ev
+FROM ranked""", "ranked"))
+def nbo_ranked_offers(spark, sf_dir):
+    _, ev = _ctx(spark, sf_dir)
+    r = nbo.rank_offers(ev)
+    return r.select("member_id", "product_id", "rank", "role", "risk_tier",
+                    F.round("amount").cast("bigint").alias("amount"), F.round("ev", DIGITS).alias("ev"))
+
+
+@register("nbo_decisions", "P-03, P-04, W-02", sql("""
+SELECT m.member_id, t.risk_tier, p.primary_product, coalesce(p.alternatives, CAST([] AS VARCHAR[])) AS alternatives,
+       CASE WHEN p.primary_product IS NULL THEN CASE WHEN t.risk_tier = 'high' THEN 'financial_education' ELSE 'no_eligible_offer' END END AS decline_reason
+FROM members m
+LEFT JOIN (SELECT member_id, first(risk_tier) AS risk_tier FROM evaluated GROUP BY member_id) t ON m.member_id = t.member_id
+LEFT JOIN (SELECT member_id, max(CASE WHEN "rank" = 1 THEN product_id END) AS primary_product,
+                  coalesce(list(product_id ORDER BY "rank") FILTER (WHERE "rank" > 1), CAST([] AS VARCHAR[])) AS alternatives
+           FROM ranked GROUP BY member_id) p ON m.member_id = p.member_id""", "members", "evaluated", "ranked"))
+def nbo_decisions(spark, sf_dir):
+    members, ev = _ctx(spark, sf_dir)
+    return nbo.decisions(members, nbo.rank_offers(ev), ev)
+
+
+cte("interactions", f"""
+SELECT event_id AS interaction_id, CAST(100000000 + user_id AS VARCHAR) AS member_id,
+       {pick('event_id', 8, [p[0] for p in fixed.PRODUCT_CATALOG])} AS product_id,
+       {pick('event_id', 6, fixed.CHANNELS)} AS channel, ts AS contacted_at,
+       CASE WHEN hour(ts) < 11 THEN 'morning' WHEN hour(ts) < 14 THEN 'midday' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'night' END AS contact_window,
+       CASE WHEN event_type = 'purchase' THEN 'accepted' WHEN event_type IN ('view', 'click') THEN 'ignored' ELSE 'rejected' END AS outcome
+FROM events""")
+cte("segmented", """
+SELECT i.*, (CASE WHEN m.digital_affinity >= 70 THEN 'high' WHEN m.digital_affinity >= 45 THEN 'medium' ELSE 'low' END) || '|' || m.category AS segment
+FROM interactions i JOIN members m ON i.member_id = m.member_id""", ["interactions", "members"])
+cte("chan_rates", """
+SELECT segment, channel, CAST(count(*) AS BIGINT) AS sends, CAST(count(*) FILTER (WHERE outcome = 'accepted') AS BIGINT) AS accepts,
+       (count(*) FILTER (WHERE outcome = 'accepted') + 50 * (SELECT avg(CAST(outcome = 'accepted' AS DOUBLE)) FROM interactions)) / (count(*) + 50) AS rate
+FROM segmented GROUP BY segment, channel""", ["segmented", "interactions"])
+
+
+@register("channel_rates", "A-20, W-14", sql(f"""
+SELECT segment, channel, sends, accepts, round(rate, {DIGITS}) AS rate FROM chan_rates""", "chan_rates"))
+def channel_rates(spark, sf_dir):
+    r = nbo.channel_rates(derived.interactions(spark, sf_dir), derived.member_features(spark, sf_dir))
+    return r.withColumn("rate", F.round("rate", DIGITS))
+
+
+@register("best_windows", "A-21, W-05", sql(f"""
+SELECT segment, channel, contact_window, sends, accepts, round(rate, {DIGITS}) AS rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY segment, channel ORDER BY rate DESC, contact_window) AS r FROM (
+    SELECT segment, channel, contact_window, CAST(count(*) AS BIGINT) AS sends,
+           CAST(count(*) FILTER (WHERE outcome = 'accepted') AS BIGINT) AS accepts,
+           (count(*) FILTER (WHERE outcome = 'accepted') + 50 * (SELECT avg(CAST(outcome = 'accepted' AS DOUBLE)) FROM interactions)) / (count(*) + 50) AS rate
+    FROM segmented GROUP BY segment, channel, contact_window) a) b WHERE r = 1""", "segmented", "interactions"))
+def best_windows(spark, sf_dir):
+    r = nbo.best_windows(derived.interactions(spark, sf_dir), derived.member_features(spark, sf_dir))
+    return r.withColumn("rate", F.round("rate", DIGITS))
+
+
+cte("member_channel", """
+SELECT member_id, segment, channel, rate FROM (
+  SELECT a.*, coalesce(r.rate, 0.0) AS rate,
+         row_number() OVER (PARTITION BY a.member_id ORDER BY coalesce(r.rate, 0.0) DESC, a.channel) AS rn
+  FROM (SELECT member_id,
+               (CASE WHEN digital_affinity >= 70 THEN 'high' WHEN digital_affinity >= 45 THEN 'medium' ELSE 'low' END) || '|' || category AS segment,
+               unnest(CASE WHEN consent_whatsapp AND has_phone THEN ['whatsapp', 'sms'] ELSE CAST([] AS VARCHAR[]) END
+                      || CASE WHEN consent_email AND has_email THEN ['email'] ELSE CAST([] AS VARCHAR[]) END
+                      || ['app', 'callcenter', 'branch']) AS channel
+        FROM members) a
+  LEFT JOIN chan_rates r ON a.segment = r.segment AND a.channel = r.channel) x WHERE rn = 1""", ["members", "chan_rates"])
+
+
+@register("member_channels", "W-05, F-14, A-20", sql(f"""
+SELECT member_id, segment, channel, round(rate, {DIGITS}) AS rate FROM member_channel""", "member_channel"))
+def member_channels(spark, sf_dir):
+    members = derived.member_features(spark, sf_dir)
+    rates = nbo.channel_rates(derived.interactions(spark, sf_dir), members)
+    return nbo.member_channels(members, rates).withColumn("rate", F.round("rate", DIGITS))

@@ -199,5 +199,5 @@ def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(pid).alias("product_id"), (((k * (2 * i + 3) + 17 * i) % 50) / 100.0).alias("p_accept"))
         for i, pid in enumerate(products)
     ])
-    pd_col = F.round((F.col("n_pending") + 1.0) / (F.col("n_orders") + 6.0) * 0.5, 4)
+    pd_col = (F.col("n_pending") + 1.0) / (F.col("n_orders") + 6.0) * 0.5
     return feats.select("member_id", pd_col.alias("pd"), F.inline(rows))
