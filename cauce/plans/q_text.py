@@ -1 +1,150 @@
-"""Queries (registered on import)."""
+"""Text and conversation queries over ``conversations`` and ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cauce import fixed
+from cauce.operators import chat
+from cauce.plans.oracle import cte, sql
+from cauce.plans.registry import register
+from cauce.sources.tables import read_table
+
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return STRIP.format(x)
+
+
+def _prefix_case(t: str) -> str:
+    parts = []
+    for p in fixed.COMMON_PREFIXES:
+        parts.append(f"WHEN starts_with(lower({t}), '{p.lower()}') THEN {_strip(f'substr({t}, {len(p) + 1})')}")
+    return "CASE " + " ".join(parts) + f" ELSE {t} END"
+
+
+cte("clean1", f"""
+SELECT conv_id, turn,
+       regexp_replace(replace(regexp_replace({_strip('text')}, '```[^\\n]*\\n?', '', 'g'), '```', ''), '\\*\\*(.+?)\\*\\*', '\\1', 'g') AS t
+FROM conversations WHERE role = 'assistant'""")
+cte("clean2", f"SELECT conv_id, turn, {_prefix_case('t')} AS t FROM clean1", ["clean1"])
+cte("clean3", f"""
+SELECT conv_id, turn,
+       {_strip('''CASE WHEN length(t) >= 1 AND ((starts_with(t, '"') AND ends_with(t, '"')) OR (starts_with(t, '''"'"''') AND ends_with(t, '''"'"''')))
+            THEN CASE WHEN length(t) >= 2 THEN substr(t, 2, length(t) - 2) ELSE '' END ELSE t END''')} AS t
+FROM clean2""", ["clean2"])
+
+
+@register("clean_generated_text", "F-24", sql("""
+SELECT conv_id, turn, CASE WHEN length(t) > 0 THEN t END AS cleaned_text, length(t) > 0 AS clean_ok FROM clean3""", "clean3"))
+def clean_generated_text(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return chat.clean_responses(conv, ["conv_id", "turn"])
+
+
+def _phrase_values() -> str:
+    return "(VALUES " + ", ".join(f"('{t}', ' {p} ')" for t, p in chat.TOPIC_PHRASES) + ") AS ph(topic, phrase)"
+
+
+cte("utter", """
+SELECT conv_id, turn,
+       ' ' || trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'áéíóúÁÉÍÓÚñÑüÜ', 'aeiouAEIOUnNuU'),
+                                                 '[^a-z0-9ñ ]+', ' ', 'g'), ' +', ' ', 'g')) || ' ' AS norm
+FROM conversations WHERE role = 'user'""")
+cte("tagged", f"""
+SELECT u.conv_id, u.turn,
+       coalesce(list(DISTINCT ph.topic ORDER BY ph.topic) FILTER (WHERE ph.topic IS NOT NULL), CAST([] AS VARCHAR[])) AS topics
+FROM utter u LEFT JOIN {_phrase_values()} ON contains(u.norm, ph.phrase)
+GROUP BY u.conv_id, u.turn""", ["utter"])
+cte("intents", """
+SELECT conv_id, turn, topics,
+       CASE WHEN len(topics) = 0 THEN 'unknown' WHEN len(topics) > 1 THEN 'ambiguous' ELSE topics[1] END AS intent
+FROM tagged""", ["tagged"])
+
+
+@register("intent_tags", "P-06", sql("SELECT conv_id, turn, topics, intent FROM intents", "intents"))
+def intent_tags(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return chat.tag_intents(conv).select("conv_id", "turn", "topics", "intent")
+
+
+cte("escal", """
+SELECT c.conv_id, CAST(coalesce(k.n_unknown, 0) AS BIGINT) AS n_unknown, e.escalation_turn IS NOT NULL AS escalated, e.escalation_turn
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN (SELECT conv_id, count(*) AS n_unknown FROM intents WHERE intent = 'unknown' GROUP BY conv_id) k ON c.conv_id = k.conv_id
+LEFT JOIN (SELECT conv_id, turn AS escalation_turn FROM (
+             SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM intents WHERE intent = 'unknown') x
+           WHERE k = 3) e ON c.conv_id = e.conv_id""", ["intents"])
+
+
+@register("escalations", "P-07", sql("SELECT * FROM escal", "escal"))
+def escalations(spark, sf_dir):
+    return chat.escalations(read_table(spark, sf_dir, "conversations"))
+
+
+@register("conversation_outcomes", "A-34", sql("""
+SELECT outcome, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 10) AS share FROM (
+  SELECT e.conv_id,
+         CASE WHEN e.escalated OR coalesce(c.asked, 0) = 1 THEN 'escalated'
+              WHEN coalesce(c.closing, 0) = 1 THEN 'resolved_confirmed' ELSE 'resolved_implied' END AS outcome
+  FROM escal e LEFT JOIN (
+    SELECT conv_id, max(CASE WHEN list_contains(topics, 'thank_you') OR list_contains(topics, 'goodbye') THEN 1 ELSE 0 END) AS closing,
+           max(CASE WHEN list_contains(topics, 'escalate') THEN 1 ELSE 0 END) AS asked
+    FROM intents GROUP BY conv_id) c ON e.conv_id = c.conv_id) o
+GROUP BY outcome""", "escal", "intents"))
+def conversation_outcomes(spark, sf_dir):
+    o = chat.conversation_outcomes(read_table(spark, sf_dir, "conversations"))
+    agg = o.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    total = o.agg(F.count(F.lit(1))).scalar()
+    return agg.withColumn("share", F.round(F.col("n") / total, 10))
+
+
+def _insurance_sql() -> str:
+    rules = ", ".join(f"{{'prio': {i}, 'pattern': '{p}', 'product': '{prod}'}}" for i, (p, prod) in enumerate(chat.INSURANCE_RULES))
+    return f"""
+SELECT doc_id, list_slice(list_transform(list_filter([{rules}], lambda r: regexp_matches(lower(text), r.pattern)),
+                                          lambda r: r.product), 1, 2) AS suggestions
+FROM documents"""
+
+
+@register("insurance_suggestions", "P-05", sql(_insurance_sql()))
+def insurance_suggestions(spark, sf_dir):
+    return chat.insurance_suggestions(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+cte("raw_responses", """
+SELECT conv_id, turn,
+       CASE (conv_id + turn) % 6
+            WHEN 0 THEN CAST(json_object('choices', json_array(json_object('message', json_object('content', text), 'finish_reason', 'stop'))) AS VARCHAR)
+            WHEN 1 THEN CAST(json_object('choices', json_array(json_object('message', json_object('content', text), 'finish_reason', 'length'))) AS VARCHAR)
+            WHEN 2 THEN '{"choices": []}'
+            WHEN 3 THEN text
+            WHEN 4 THEN '[1, 2]'
+            ELSE '{"choices": [{"message": {"content": "   "}}]}' END AS raw
+FROM conversations WHERE role = 'assistant'""")
+
+
+@register("parse_completions", "F-25", sql("""
+SELECT conv_id, turn, code AS error_code, CASE WHEN code IS NULL THEN regexp_replace(content, '^\\s+|\\s+$', '', 'g') END AS content FROM (
+  SELECT conv_id, turn, json_extract_string(j, '$.choices[0].message.content') AS content,
+         CASE WHEN j IS NULL THEN 'invalid_json'
+              WHEN json_type(j) <> 'OBJECT' THEN 'not_object'
+              WHEN coalesce(json_type(j, '$.choices'), '') <> 'ARRAY' OR json_array_length(j, '$.choices') = 0 THEN 'no_choices'
+              WHEN json_type(j, '$.choices[0]') <> 'OBJECT' THEN 'bad_choice'
+              WHEN coalesce(json_type(j, '$.choices[0].message'), '') <> 'OBJECT' THEN 'bad_message'
+              WHEN coalesce(json_type(j, '$.choices[0].message.content'), '') <> 'VARCHAR'
+                   OR length(regexp_replace(json_extract_string(j, '$.choices[0].message.content'), '^\\s+|\\s+$', '', 'g')) = 0 THEN 'empty'
+              WHEN json_extract_string(j, '$.choices[0].finish_reason') = 'length' THEN 'length'
+              WHEN json_extract_string(j, '$.choices[0].finish_reason') = 'content_filter' THEN 'content_filter' END AS code
+  FROM (SELECT conv_id, turn, CASE WHEN coalesce(json_valid(raw), false) THEN raw END AS j FROM raw_responses) r) x""", "raw_responses"))
+def parse_completions(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    ok = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"),
+                                             F.lit("stop").alias("finish_reason"))).alias("choices")))
+    trunc = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"),
+                                                F.lit("length").alias("finish_reason"))).alias("choices")))
+    raw = (F.when(k == 0, ok).when(k == 1, trunc).when(k == 2, F.lit('{"choices": []}')).when(k == 3, F.col("text"))
+           .when(k == 4, F.lit("[1, 2]")).otherwise(F.lit('{"choices": [{"message": {"content": "   "}}]}')))
+    return chat.parse_completions(conv.select("conv_id", "turn", raw.alias("raw")), ["conv_id", "turn"])
