@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cauce.functions.ids import strip_ws
-from cauce.functions.text import clean_generated, normalize_utterance
+from cauce.functions.text import clean_generated, fold_accents
 from cauce.operators.ordering import row_number_in_group
 
 # FIXED VALUES: topic trigger phrases (topic, phrase), matched on normalised text
@@ -58,19 +58,32 @@ MAX_SUGGESTIONS = 2
 UNKNOWN_TURNS_TO_ESCALATE = 3
 
 
+def _topic_patterns() -> dict[str, str]:
+    """One regex per topic: its phrases as alternatives, words separated by
+    any run of non-letters, anchored on non-letter boundaries."""
+    sep = "[^a-z0-9ñ]+"
+    out: dict[str, list[str]] = {}
+    for topic, phrase in TOPIC_PHRASES:
+        out.setdefault(topic, []).append(sep.join(phrase.split(" ")))
+    return {t: "(^|[^a-z0-9ñ])(" + "|".join(alts) + ")([^a-z0-9ñ]|$)" for t, alts in out.items()}
+
+
 def tag_intents(utterances: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``topics`` (distinct, sorted) and ``intent``: one topic, ambiguous or unknown.
 
-    The phrase list is a literal array evaluated inside the expression, so
-    tagging is a narrow projection (no join, no shuffle).
+    Text is lower-cased and accent-folded; each topic is one regular
+    expression over it (whole-stage codegen, no join, no shuffle).
     """
-    norm = normalize_utterance(F.col(text_col))
-    phrases = F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(f" {p} ").alias("phrase")) for t, p in TOPIC_PHRASES])
-    hits = F.filter(phrases, lambda r: F.contains(norm, r["phrase"]))
-    topics = F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["topic"])))
-    out = utterances.withColumn("topics", topics)
-    return out.withColumn("intent", F.when(F.size("topics") == 0, "unknown")
-                          .when(F.size("topics") > 1, "ambiguous").otherwise(F.get(F.col("topics"), 0)))
+    folded = fold_accents(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    pats = _topic_patterns()
+    flags = [F.when(F.regexp_like(folded, F.lit(pats[t])), F.lit(t)) for t in sorted(pats)]
+    hits = [F.regexp_like(folded, F.lit(pats[t])).cast("int") for t in sorted(pats)]
+    n_hits = hits[0]
+    for h in hits[1:]:
+        n_hits = n_hits + h
+    single = F.coalesce(*flags)
+    df = utterances.withColumn("topics", F.array_compact(F.array(*flags)))
+    return df.withColumn("intent", F.when(n_hits == 0, "unknown").when(n_hits > 1, "ambiguous").otherwise(single))
 
 
 def escalations(turns: DataFrame) -> DataFrame:

@@ -27,11 +27,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark import StorageLevel
 
 _PID = "__pid"
 _LOCAL = "__local"
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint; the frame is persisted first so the checkpoint
+    write reuses the computed partitions instead of recomputing the lineage."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
 def _n_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -45,7 +55,7 @@ def global_row_number(df: DataFrame, order: list[Column | str], out: str = "rn",
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     local = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(
         _LOCAL, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    local = local.checkpoint(eager=True)
+    local = _materialise(local)
     counts = local.groupBy(_PID).agg(F.count(F.lit(1)).alias("__cnt"))
     offsets = counts.select(
         _PID,
@@ -101,7 +111,7 @@ def cumulative_sums(df: DataFrame, order_col: str | list[str], sum_cols: list[st
                 pdf[f"__l_{c}"] = run
             yield pdf
 
-    local = ranged.mapInPandas(_running, schema).checkpoint(eager=True)
+    local = _materialise(ranged.mapInPandas(_running, schema))
     totals = local.groupBy(_PID).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     offsets = totals.select(_PID, *[F.coalesce(F.sum(f"__t_{c}").over(w_off), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
     out = local.join(F.broadcast(offsets), _PID)
