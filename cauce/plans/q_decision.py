@@ -45,6 +45,8 @@ SELECT CAST(100000000 + c_custkey AS VARCHAR) AS member_id,
        CASE WHEN c_custkey % 100 >= 94 THEN 1.0 ELSE 0.0 END AS current_delinquency,
        CAST(coalesce(h.has_mortgage, 0) AS DOUBLE) AS has_mortgage,
        CAST(c_custkey * 29 % 101 AS DOUBLE) AS digital_affinity,
+       CAST(c_custkey * 3 % 36 AS DOUBLE) AS months_since_event,
+       CAST(c_custkey % 4 AS DOUBLE) AS dependents,
        CAST(coalesce(h.n_orders, 0) AS DOUBLE) AS n_orders,
        CAST(coalesce(h.n_pending, 0) AS DOUBLE) AS n_pending,
        CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,

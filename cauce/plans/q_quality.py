@@ -1 +1,167 @@
-"""Queries (registered on import)."""
+"""Data-quality, population, split and encoder queries over the member table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cauce import fixed
+from cauce.operators import quality
+from cauce.operators.encode import FeatureEncoder
+from cauce.plans.oracle import cte, sql
+from cauce.plans.registry import register
+from cauce.sources import derived
+
+DIGITS = 10
+
+
+def _rules_sql() -> str:
+    parts = [f"SELECT '{name}' AS rule, CAST(count(*) AS BIGINT) AS n_checked, "
+             f"CAST(count(*) FILTER (WHERE NOT coalesce(({cond}), false)) AS BIGINT) AS n_violations FROM persons"
+             for name, cond in quality.PERSON_RULES]
+    parts.append("SELECT 'cedula_unique', CAST(count(*) AS BIGINT), CAST(count(*) - count(DISTINCT cedula) AS BIGINT) FROM persons")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("quality_violations", "V-08, A-30, T-03", sql(_rules_sql(), "persons"))
+def quality_violations(spark, sf_dir):
+    return quality.rule_violations(derived.persons(spark, sf_dir))
+
+
+NUMERIC_CHECK = ["age", "income", "job_tenure_months", "internal_score", "debt_ratio", "current_delinquency",
+                 "has_mortgage", "digital_affinity", "months_since_event", "dependents"]
+
+
+@register("missing_features", "V-10, V-11, V-12, T-01", sql("\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS BIGINT) AS n_bad FROM members"
+    for c in NUMERIC_CHECK), "members"))
+def missing_features(spark, sf_dir):
+    return quality.missing_numeric(derived.member_features(spark, sf_dir), NUMERIC_CHECK)
+
+
+OOV_VOCAB = {"category": ["A", "B", "C", "D"], "contract_type": ["indefinido", "fijo"]}
+
+
+@register("oov_rates", "V-13", sql("\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", n, n_oov, round(n_oov / CAST(n AS DOUBLE), {DIGITS}) AS oov_rate,
+       CASE WHEN n_oov / CAST(n AS DOUBLE) > 0.2 THEN 'reject' WHEN n_oov > 0 THEN 'warn' ELSE 'ok' END AS verdict
+FROM (SELECT CAST(count(*) AS BIGINT) AS n,
+             CAST(count(*) FILTER (WHERE NOT coalesce({c} IN ({', '.join(repr(v) for v in vs)}), false)) AS BIGINT) AS n_oov FROM members) x"""
+    for c, vs in OOV_VOCAB.items()), "members"))
+def oov_rates(spark, sf_dir):
+    out = quality.oov_rates(derived.member_features(spark, sf_dir), OOV_VOCAB)
+    return out.withColumn("oov_rate", F.round("oov_rate", DIGITS))
+
+
+@register("label_vocabularies", "A-05, E-04, U-05", sql("\nUNION ALL ".join(
+    f"""SELECT '{c}' AS "column", list_sort(list(DISTINCT l)) AS vocabulary
+FROM (SELECT unnest({c}) AS l FROM persons) x WHERE l IS NOT NULL""" for c in fixed.MULTILABEL_COLS), "persons"))
+def label_vocabularies(spark, sf_dir):
+    return quality.label_vocabularies(derived.persons(spark, sf_dir), fixed.MULTILABEL_COLS)
+
+
+@register("population_profile", "A-06", sql("""
+SELECT dimension, value, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'categoria_afiliacion' AS dimension, categoria_afiliacion AS value FROM persons
+  UNION ALL SELECT 'product_target', coalesce(product_target, '(sin producto)') FROM persons
+  UNION ALL SELECT 'mora_maxima_historica', mora_maxima_historica FROM persons) x
+GROUP BY dimension, value""", "persons"))
+def population_profile(spark, sf_dir):
+    return quality.population_profile(derived.persons(spark, sf_dir))
+
+
+@register("top_targets", "W-10", sql("""
+SELECT coalesce(product_target, '(sin producto)') AS target, CAST(count(*) AS BIGINT) AS n FROM persons
+GROUP BY 1 ORDER BY n DESC, target LIMIT 5""", "persons"))
+def top_targets(spark, sf_dir):
+    return quality.top_targets(derived.persons(spark, sf_dir))
+
+
+@register("pii_free_profile", "V-14, V-15, Q-03", sql("""
+SELECT cedula, edad, ingresos, score_datacredito, num_creditos_activos, deuda_total_acumulada_cop, cuota_mensual_total_cop,
+       capacidad_endeudamiento_disponible_pct, categoria_afiliacion, mora_maxima_historica, area_trabajo, intereses,
+       preferencias, momentos_clave, composicion_familiar, historial_creditos, product_target FROM persons""", "persons"))
+def pii_free_profile(spark, sf_dir):
+    return quality.pii_free_profile(derived.persons(spark, sf_dir))
+
+
+@register("masked_contacts", "V-16", sql("""
+SELECT cedula, CASE WHEN length(telefono) > 0 THEN '******' || right(telefono, 4) END AS telefono_masked FROM persons""", "persons"))
+def masked_contacts(spark, sf_dir):
+    return quality.masked_contacts(derived.persons(spark, sf_dir))
+
+
+FP_COLS = ["cedula", "nombre", "edad", "categoria_afiliacion", "mora_maxima_historica"]
+
+
+@register("dataset_fingerprint", "A-29", sql("""
+SELECT CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', cedula, nombre, CAST(edad AS VARCHAR), categoria_afiliacion,
+                                                         mora_maxima_historica)), 1, 13)) AS BIGINT)) AS VARCHAR) AS fingerprint
+FROM persons""", "persons"))
+def dataset_fingerprint(spark, sf_dir):
+    return quality.row_fingerprint(derived.persons(spark, sf_dir), FP_COLS)
+
+
+cte("split_s", """
+SELECT cedula, categoria_afiliacion, r, n,
+       CASE WHEN r * 10 < 6 * n THEN 'train' WHEN r * 10 < 8 * n THEN 'valid' ELSE 'test' END AS split
+FROM (SELECT cedula, categoria_afiliacion,
+             row_number() OVER (PARTITION BY categoria_afiliacion
+                                ORDER BY ((CAST(cedula AS BIGINT) + 42) * 2654435761) % 4294967296, CAST(cedula AS BIGINT)) - 1 AS r,
+             count(*) OVER (PARTITION BY categoria_afiliacion) AS n
+      FROM persons) x""", ["persons"])
+
+
+def _split_sql(body: str):
+    return sql(body, "split_s")
+
+
+@register("split_assignment", "W-13", _split_sql("SELECT cedula, categoria_afiliacion, split FROM split_s"))
+def split_assignment(spark, sf_dir):
+    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
+    return quality.stratified_split(p, "cedula", "categoria_afiliacion").select("cedula", "categoria_afiliacion", "split")
+
+
+@register("split_sizes", "A-31, W-13", _split_sql(
+    "SELECT categoria_afiliacion, split, CAST(count(*) AS BIGINT) AS n FROM split_s GROUP BY 1, 2"))
+def split_sizes(spark, sf_dir):
+    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
+    s = quality.stratified_split(p, "cedula", "categoria_afiliacion")
+    return s.groupBy("categoria_afiliacion", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sample_rows", "W-12", sql("""
+SELECT cedula, categoria_afiliacion FROM persons
+ORDER BY ((CAST(cedula AS BIGINT) + 42) * 2654435761) % 4294967296, CAST(cedula AS BIGINT) LIMIT 1000""", "persons"))
+def sample_rows(spark, sf_dir):
+    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
+    return quality.sample_rows(p, "cedula")
+
+
+def _encoded_sql() -> str:
+    vocab = {
+        "categoria_afiliacion": ["A", "B", "C"],
+        "area_trabajo": ["comercio", "educacion", "industria", "servicios"],
+        "intereses": ["Educacion", "consolidacion", "educacion", "salud", "tecnologia", "turismo", "vivienda"],
+        "preferencias": ["digital", "presencial"],
+        "momentos_clave": ["inicio_semestre", "mudanza", "nacimiento_hijo", "primer_empleo"],
+        "composicion_familiar": ["hijos", "pareja", "soltero"],
+        "historial_creditos": ["consumo", "vivienda"],
+    }
+    enc = FeatureEncoder(vocab)
+    cols = ["cedula", "product_target"] + [f"CAST({c} AS DOUBLE) AS {c}" for c in fixed.NUMERIC_COLS]
+    for v, n in zip(vocab["categoria_afiliacion"], enc._value_names("categoria_afiliacion")):
+        cols.append(f"coalesce(CAST(categoria_afiliacion = '{v}' AS DOUBLE), 0.0) AS \"{n}\"")
+    cols.append("CAST(coalesce(list_position(['0_DIAS', '30_DIAS', '60_DIAS', '90_MAS_DIAS'], mora_maxima_historica), 0) - 1 AS DOUBLE)"
+                " AS mora_maxima_historica")
+    for c in fixed.MULTILABEL_COLS:
+        for v, n in zip(vocab[c], enc._value_names(c)):
+            cols.append(f"CAST(list_contains(coalesce({c}, CAST([] AS VARCHAR[])), '{v}') AS DOUBLE) AS \"{n}\"")
+    return "SELECT " + ",\n       ".join(cols) + " FROM persons"
+
+
+@register("encoded_features", "E-01, E-02, E-03, E-04, E-05, E-06, E-07, T-05, F-28", sql(_encoded_sql(), "persons"))
+def encoded_features(spark, sf_dir):
+    persons = derived.persons(spark, sf_dir)
+    enc = FeatureEncoder().fit(persons)
+    return enc.transform(persons, keep=["cedula"])
