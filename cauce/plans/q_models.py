@@ -1 +1,102 @@
-"""Queries (registered on import)."""
+"""Model queries: WoE table (SQL-checked) and trained-model outputs (rows-only)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cauce.operators import metrics, models, quality
+from cauce.plans.oracle import cte, sql
+from cauce.plans.registry import register
+from cauce.sources import derived
+from cauce.sources.tables import read_table
+
+DIGITS = 10
+WOE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+MODEL_FEATURES = ["age", "income", "job_tenure_months", "internal_score", "debt_ratio", "digital_affinity",
+                  "dependents", "n_orders", "months_since_event"]
+
+
+def _credit_lines(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *WOE_FEATURES)
+    return li.withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+
+
+cte("woe_long", "SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, "
+                "unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem")
+cte("woe_edges", """
+SELECT feature, edge FROM (
+  SELECT feature, edge, min(edge) OVER (PARTITION BY feature) AS lo, max(edge) OVER (PARTITION BY feature) AS hi
+  FROM (SELECT DISTINCT feature, unnest(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edge
+        FROM woe_long GROUP BY feature) e) x
+WHERE edge > lo AND edge < hi""", ["woe_long"])
+
+
+@register("woe_table", "A-18, M-04", sql(f"""
+SELECT feature, CAST(bin AS BIGINT) AS bin, min_value, max_value, CAST(n AS BIGINT) AS n, CAST(bad AS BIGINT) AS bad,
+       CAST(good AS BIGINT) AS good, round(woe, {DIGITS}) AS woe, round((bad / B - good / G) * woe, {DIGITS}) AS iv_part
+FROM (SELECT *, ln(((bad + 0.5) / B) / ((good + 0.5) / G)) AS woe FROM (
+  SELECT b.*, sum(bad) OVER (PARTITION BY feature) AS B, sum(good) OVER (PARTITION BY feature) AS G FROM (
+    SELECT feature, bin, min(value) AS min_value, max(value) AS max_value, sum(n) AS n, sum(bad) AS bad, sum(n) - sum(bad) AS good
+    FROM (SELECT d.*, (SELECT count(*) FROM woe_edges e WHERE e.feature = d.feature AND d.value > e.edge) AS bin
+          FROM (SELECT feature, value, count(*) AS n, sum(y) AS bad FROM woe_long GROUP BY feature, value) d) x
+    GROUP BY feature, bin) b) c) w""", "woe_long", "woe_edges"))
+def woe_table(spark, sf_dir):
+    t = models.woe_table(_credit_lines(spark, sf_dir), "y", WOE_FEATURES)
+    return t.withColumn("woe", F.round("woe", DIGITS)).withColumn("iv_part", F.round("iv_part", DIGITS))
+
+
+def _model_frame(spark, sf_dir):
+    m = derived.member_features(spark, sf_dir)
+    # label: a member whose pending orders exceed a third of all orders
+    m = m.withColumn("default_12m", ((F.col("n_pending") * 3) > F.col("n_orders")).cast("int"))
+    m = m.withColumn("__key", F.col("member_id").cast("bigint"))
+    return quality.stratified_split(m, "__key", "default_12m")
+
+
+@register("model_default_scores", "M-01, M-02, M-05, M-06, M-08, M-09, M-10, S-15")
+def model_default_scores(spark, sf_dir):
+    """GBT on train, isotonic on valid, calibrated scores for every member (rows-only check)."""
+    frame = _model_frame(spark, sf_dir)
+    gbt = models.train_gbt(frame.filter(F.col("split") == "train"), "default_12m", MODEL_FEATURES, max_iter=20)
+    scored = models.score_gbt(gbt, frame, MODEL_FEATURES)
+    iso = models.fit_isotonic(scored.filter(F.col("split") == "valid"), "default_12m")
+    cal = models.apply_isotonic(iso, scored)
+    return cal.select("member_id", "split", "default_12m", F.lit("default_12m").alias("model"),
+                      F.col("raw_score").alias("raw"), "calibrated")
+
+
+@register("model_calibration_report", "A-15, A-16, M-07, S-14")
+def model_calibration_report(spark, sf_dir):
+    """Raw vs calibrated Brier/ECE and AUC on the test split (rows-only check)."""
+    s = model_default_scores(spark, sf_dir).filter(F.col("split") == "test")
+    raw = metrics.ranking_summary(s.select(F.col("default_12m").alias("y"), F.col("raw").alias("p")))
+    ece_raw = metrics.ece(s.select(F.col("default_12m").alias("y"), F.col("raw").alias("p"))).select(F.col("ece").alias("raw_ece"))
+    ece_cal = metrics.ece(s.select(F.col("default_12m").alias("y"), F.col("calibrated").alias("p"))).select(F.col("ece").alias("calibrated_ece"))
+    r = raw.select("n", "test_auc", "test_ks", "test_gini", "brier_score", "prevalence")
+    return r.select("*", ece_raw.select("raw_ece").scalar().alias("raw_ece"),
+                    ece_cal.select("calibrated_ece").scalar().alias("calibrated_ece"))
+
+
+def _scorecard(spark, sf_dir):
+    frame = _model_frame(spark, sf_dir)
+    train = frame.filter(F.col("split") == "train")
+    woe = models.apply_woe(frame, train, "default_12m", MODEL_FEATURES, "member_id")
+    woe = woe.join(frame.select("member_id", "default_12m", "split"), "member_id")
+    lr = models.train_scorecard(woe.filter(F.col("split") == "train"), "default_12m", MODEL_FEATURES)
+    return woe, lr
+
+
+@register("scorecard_drivers", "M-03, M-11, W-03, F-37")
+def scorecard_drivers(spark, sf_dir):
+    """Top-3 positive scorecard attributions per member (rows-only check)."""
+    woe, lr = _scorecard(spark, sf_dir)
+    phi = models.scorecard_attributions(woe.fillna(0.0, subset=MODEL_FEATURES), lr, MODEL_FEATURES, "member_id")
+    return models.top_positive_drivers(phi, "member_id")
+
+
+@register("attribution_importance", "A-19, W-11, M-12, A-32")
+def attribution_importance(spark, sf_dir):
+    """Mean |phi| per feature, descending (rows-only check)."""
+    woe, lr = _scorecard(spark, sf_dir)
+    phi = models.scorecard_attributions(woe.fillna(0.0, subset=MODEL_FEATURES), lr, MODEL_FEATURES, "member_id")
+    return models.global_importance(phi)
