@@ -62,3 +62,38 @@ def campaign_messages(spark, sf_dir):
     m = _campaign(spark, sf_dir)["messages"]
     return m.select("batch_id", "person_id", "channel", "contact_window", F.col("trigger").alias("trigger_event"),
                     "message_text", "message_source")
+
+
+@register("outbox_messages", "W-07, W-08, S-11, S-12, Q-01", sql("""
+SELECT row_number() OVER (ORDER BY batch_id, person_id) AS message_id, batch_id, person_id AS cedula, product_id,
+       channel, contact_window, "trigger" AS trigger_event, 'template' AS message_source, 'scheduled' AS status
+FROM results WHERE result_status = 'processed'""", "results"))
+def outbox_messages(spark, sf_dir):
+    from cauce.operators.messages import outbox_rows  # noqa: PLC0415
+    m = _campaign(spark, sf_dir)["messages"]
+    return outbox_rows(m).select("message_id", "batch_id", "cedula", "product_id", "channel", "contact_window",
+                                 "trigger_event", "message_source", "status")
+
+
+@register("due_messages", "Q-04", sql("""
+SELECT batch_id, CAST(count(*) AS BIGINT) AS n_due FROM results
+WHERE result_status = 'processed' AND contact_window = 'night' GROUP BY batch_id""", "results"))
+def due_messages(spark, sf_dir):
+    """Messages due now (status scheduled, window of 20:00 = night), per batch."""
+    m = _campaign(spark, sf_dir)["messages"].withColumn("status", F.lit("scheduled"))
+    due = m.filter((F.col("status") == "scheduled") & (F.col("contact_window") == "night"))
+    return due.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_due"))
+
+
+@register("batch_status", "Q-02, A-04, A-28", sql("""
+SELECT batch_id, 'completed' AS status, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE result_status = 'processed') AS BIGINT) AS offers,
+       round(count(*) FILTER (WHERE result_status IS NOT NULL) / CAST(count(*) AS DOUBLE), 10) AS progress
+FROM results GROUP BY batch_id""", "results"))
+def batch_status(spark, sf_dir):
+    res = _campaign(spark, sf_dir)["results"]
+    agg = res.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total"),
+                                      F.count_if(F.col("result_status") == "processed").alias("offers"),
+                                      F.count_if(F.col("result_status").isNotNull()).alias("__done"))
+    return agg.select("batch_id", F.lit("completed").alias("status"), "total", "offers",
+                      F.round(F.try_divide(F.col("__done"), F.col("total")), 10).alias("progress"))

@@ -184,3 +184,99 @@ def member_channels(spark, sf_dir):
     members = derived.member_features(spark, sf_dir)
     rates = nbo.channel_rates(derived.interactions(spark, sf_dir), members)
     return nbo.member_channels(members, rates).withColumn("rate", F.round("rate", DIGITS))
+
+
+# ---------------------------------------------------------------------------
+# Backtest and dashboard queries
+# ---------------------------------------------------------------------------
+
+def _decisions(spark, sf_dir):
+    members, ev = _ctx(spark, sf_dir)
+    ranked = nbo.rank_offers(ev)
+    return members, ev, ranked
+
+
+@register("backtest_hit_at_1", "A-23, J-02", sql(f"""
+SELECT CAST(count(*) AS BIGINT) AS n_members,
+       round(avg(CAST(list_contains(acc, primary_product) AS DOUBLE)), {DIGITS}) AS hit_at_1_engine,
+       round(avg(CAST(list_contains(acc, (SELECT product_id FROM interactions WHERE outcome = 'accepted'
+                                           GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT 1)) AS DOUBLE)), {DIGITS}) AS hit_at_1_popularity
+FROM (SELECT r.member_id, r.product_id AS primary_product, a.acc FROM ranked r
+      JOIN (SELECT member_id, list(DISTINCT product_id) AS acc FROM interactions WHERE outcome = 'accepted' GROUP BY member_id) a
+        ON r.member_id = a.member_id WHERE r."rank" = 1) x""", "ranked", "interactions"))
+def backtest_hit_at_1(spark, sf_dir):
+    _, _, ranked = _decisions(spark, sf_dir)
+    inter = derived.interactions(spark, sf_dir).filter(F.col("outcome") == "accepted")
+    acc = inter.groupBy("member_id").agg(F.collect_set("product_id").alias("acc"))  # per member: at most 8 products
+    pop = (inter.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.col("n").desc(), "product_id").limit(1).select("product_id").scalar())
+    j = ranked.filter(F.col("rank") == 1).select("member_id", F.col("product_id").alias("primary")).join(acc, "member_id")
+    return j.agg(F.count(F.lit(1)).alias("n_members"),
+                 F.round(F.avg(F.array_contains("acc", F.col("primary")).cast("double")), DIGITS).alias("hit_at_1_engine"),
+                 F.round(F.avg(F.array_contains("acc", pop).cast("double")), DIGITS).alias("hit_at_1_popularity"))
+
+
+@register("backtest_channel_lift", "A-24", sql(f"""
+SELECT round(rec, {DIGITS}) AS accept_rate_recommended, round(maj, {DIGITS}) AS accept_rate_majority,
+       round(CASE WHEN maj > 0 THEN rec / maj - 1 END, {DIGITS}) AS lift
+FROM (SELECT avg(CASE WHEN i.channel = mc.channel THEN CAST(i.outcome = 'accepted' AS DOUBLE) END) AS rec,
+             avg(CASE WHEN i.channel = (SELECT channel FROM interactions GROUP BY channel ORDER BY count(*) DESC, channel LIMIT 1)
+                      THEN CAST(i.outcome = 'accepted' AS DOUBLE) END) AS maj
+      FROM interactions i JOIN member_channel mc ON i.member_id = mc.member_id) x""", "interactions", "member_channel"))
+def backtest_channel_lift(spark, sf_dir):
+    members = derived.member_features(spark, sf_dir)
+    inter = derived.interactions(spark, sf_dir)
+    rec = nbo.member_channels(members, nbo.channel_rates(inter, members)).select("member_id", F.col("channel").alias("rec"))
+    major = (inter.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.col("n").desc(), "channel").limit(1).select("channel").scalar())
+    acc = (F.col("outcome") == "accepted").cast("double")
+    j = inter.join(rec, "member_id")
+    out = j.agg(F.avg(F.when(F.col("channel") == F.col("rec"), acc)).alias("r"),
+                F.avg(F.when(F.col("channel") == major, acc)).alias("m"))
+    return out.select(F.round("r", DIGITS).alias("accept_rate_recommended"), F.round("m", DIGITS).alias("accept_rate_majority"),
+                      F.round(F.when(F.col("m") > 0, F.col("r") / F.col("m") - 1), DIGITS).alias("lift"))
+
+
+@register("backtest_coverage", "A-25", sql(f"""
+SELECT CAST(count(*) AS BIGINT) AS n_members,
+       CAST(count(*) FILTER (WHERE member_id IN (SELECT member_id FROM ranked)) AS BIGINT) AS n_covered,
+       round(count(*) FILTER (WHERE member_id IN (SELECT member_id FROM ranked)) / CAST(count(*) AS DOUBLE), {DIGITS}) AS coverage
+FROM members""", "members", "ranked"))
+def backtest_coverage(spark, sf_dir):
+    members, _, ranked = _decisions(spark, sf_dir)
+    covered = members.select("member_id").join(ranked.select("member_id").distinct(), "member_id", "left_semi")
+    n = members.count()
+    c = covered.agg(F.count(F.lit(1)).alias("n_covered"))
+    return c.select(F.lit(n).cast("bigint").alias("n_members"), "n_covered",
+                    F.round(F.col("n_covered") / F.lit(float(n)), DIGITS).alias("coverage"))
+
+
+@register("product_distribution", "A-26, A-27", sql(f"""
+SELECT product_id, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), {DIGITS}) AS share,
+       round(avg(ev), {DIGITS}) AS avg_ev
+FROM ranked WHERE "rank" = 1 GROUP BY product_id""", "ranked"))
+def product_distribution(spark, sf_dir):
+    _, _, ranked = _decisions(spark, sf_dir)
+    prim = ranked.filter(F.col("rank") == 1)
+    agg = prim.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.avg("ev").alias("avg_ev"))
+    total = prim.agg(F.count(F.lit(1))).scalar()
+    return agg.select("product_id", "n", F.round(F.col("n") / total, DIGITS).alias("share"), F.round("avg_ev", DIGITS).alias("avg_ev"))
+
+
+@register("offer_funnel", "A-33", sql("""
+SELECT CAST(count(*) AS BIGINT) AS candidate_pairs,
+       CAST(count(*) FILTER (WHERE ineligible_reason IS NULL) AS BIGINT) AS eligible,
+       CAST(count(*) FILTER (WHERE ev IS NOT NULL) AS BIGINT) AS scored,
+       CAST(count(*) FILTER (WHERE ev > 0) AS BIGINT) AS positive_ev,
+       CAST((SELECT count(*) FROM ranked) AS BIGINT) AS ranked,
+       CAST((SELECT count(*) FROM ranked WHERE "rank" = 1) AS BIGINT) AS primary_offers
+FROM evaluated""", "evaluated", "ranked"))
+def offer_funnel(spark, sf_dir):
+    _, ev, ranked = _decisions(spark, sf_dir)
+    r = ranked.agg(F.count(F.lit(1)).alias("ranked"), F.count_if(F.col("rank") == 1).alias("primary_offers"))
+    rr = r.select(F.struct("ranked", "primary_offers")).scalar()
+    return ev.agg(F.count(F.lit(1)).alias("candidate_pairs"),
+                  F.count_if(F.col("ineligible_reason").isNull()).alias("eligible"),
+                  F.count_if(F.col("ev").isNotNull()).alias("scored"),
+                  F.count_if(F.col("ev") > 0).alias("positive_ev")).select(
+        "*", rr["ranked"].alias("ranked"), rr["primary_offers"].alias("primary_offers"))
