@@ -97,3 +97,28 @@ def batch_status(spark, sf_dir):
                                       F.count_if(F.col("result_status").isNotNull()).alias("__done"))
     return agg.select("batch_id", F.lit("completed").alias("status"), "total", "offers",
                       F.round(F.try_divide(F.col("__done"), F.col("total")), 10).alias("progress"))
+
+
+@register("offer_terms_parsed", "F-03, F-04", sql("""
+SELECT person_id, CAST(TRY_CAST(regexp_replace(amount_cop, '[$.]', '', 'g') AS DECIMAL(18,2)) AS BIGINT) AS amount_value,
+       CAST(TRY_CAST(trim(replace(replace(replace(annual_rate_pct, '% E.A.', ''), ',', '.'), '%', '')) AS DECIMAL(6,3)) AS DOUBLE) AS rate_value
+FROM offers WHERE outcome = 'offer'""", "offers"))
+def offer_terms_parsed(spark, sf_dir):
+    from cauce.functions.money import parse_cop_display, parse_rate_display  # noqa: PLC0415
+    o = offers.evaluate_offers(derived.persons(spark, sf_dir)).filter(F.col("outcome") == "offer")
+    return o.select("person_id", parse_cop_display(F.col("amount_cop")).cast("bigint").alias("amount_value"),
+                    parse_rate_display(F.col("annual_rate_pct")).cast("double").alias("rate_value"))
+
+
+@register("orphan_messages", "J-10, J-11, T-04", sql("""
+SELECT batch_id, CAST(count(*) AS BIGINT) AS n_messages,
+       CAST(count(*) FILTER (WHERE person_id NOT IN (SELECT cedula FROM persons)) AS BIGINT) AS n_orphans
+FROM results WHERE result_status = 'processed' GROUP BY batch_id""", "results", "persons"))
+def orphan_messages(spark, sf_dir):
+    from cauce.sources import store  # noqa: PLC0415
+    m = _campaign(spark, sf_dir)["messages"].select("batch_id", "person_id")
+    orph = store.orphans(m, derived.persons(spark, sf_dir), "person_id", "cedula").groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_orphans"))
+    tot = m.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return tot.join(orph, "batch_id", "left").select("batch_id", "n_messages",
+                                                      F.coalesce("n_orphans", F.lit(0)).cast("bigint").alias("n_orphans"))

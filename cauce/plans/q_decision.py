@@ -280,3 +280,33 @@ def offer_funnel(spark, sf_dir):
                   F.count_if(F.col("ev").isNotNull()).alias("scored"),
                   F.count_if(F.col("ev") > 0).alias("positive_ev")).select(
         "*", rr["ranked"].alias("ranked"), rr["primary_offers"].alias("primary_offers"))
+
+
+@register("seasonality", "A-22, F-17", sql(f"""
+SELECT product_id, top_month, CAST(top_n AS BIGINT) AS top_n, CAST(cur_n AS BIGINT) AS current_n,
+       round(top_n / CAST(cur_n AS DOUBLE), {DIGITS}) AS ratio, top_n >= 1.3 * cur_n AS applies
+FROM (SELECT c.product_id, t.month AS top_month, t.n AS top_n, coalesce(c.n, 0) AS cur_n
+      FROM (SELECT product_id, month, n, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, month) AS r
+            FROM (SELECT {pick('o_orderkey', 8, [p[0] for p in fixed.PRODUCT_CATALOG])} AS product_id, month(o_orderdate) AS month,
+                         count(*) AS n FROM orders GROUP BY 1, 2) a) t
+      JOIN (SELECT {pick('o_orderkey', 8, [p[0] for p in fixed.PRODUCT_CATALOG])} AS product_id, count(*) AS n FROM orders
+            WHERE month(o_orderdate) = (SELECT month(max(o_orderdate)) FROM orders) GROUP BY 1) c
+        ON t.product_id = c.product_id WHERE t.r = 1) x"""))
+def seasonality(spark, sf_dir):
+    """Per product: busiest month of the year vs the current month; applies at >= 1.3x."""
+    from cauce.sources.tables import read_table  # noqa: PLC0415
+    from cauce.sources.derived import _pick  # noqa: PLC0415
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    o = o.select(_pick(F.col("o_orderkey"), 8, [p[0] for p in fixed.PRODUCT_CATALOG]).alias("product_id"),
+                 F.month("o_orderdate").alias("month"))
+    cur_month = read_table(spark, sf_dir, "orders").agg(F.month(F.max("o_orderdate"))).scalar()
+    per = o.groupBy("product_id", "month").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window  # noqa: PLC0415
+    w = Window.partitionBy("product_id").orderBy(F.col("n").desc(), F.col("month"))  # <= 12 rows per product
+    top = per.withColumn("r", F.row_number().over(w)).filter("r = 1").select("product_id", F.col("month").alias("top_month"),
+                                                                          F.col("n").alias("top_n"))
+    cur = per.filter(F.col("month") == cur_month).select("product_id", F.col("n").alias("current_n"))
+    j = top.join(cur, "product_id")
+    return j.select("product_id", "top_month", "top_n", "current_n",
+                    F.round(F.col("top_n") / F.col("current_n"), DIGITS).alias("ratio"),
+                    (F.col("top_n") >= 1.3 * F.col("current_n")).alias("applies"))
