@@ -27,16 +27,22 @@ def lookup_persons(ids: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def person_results(ids: DataFrame, persons: DataFrame) -> DataFrame:
-    """One row per (batch, person): result_status + detail and the offer columns."""
-    looked = lookup_persons(ids, persons)
-    found = looked.filter("__found").withColumnRenamed("person_id", "cedula")
-    offers = evaluate_offers(found, keep=["batch_id", "pos"])
-    status = F.when(F.col("outcome") == "offer", "processed").otherwise(F.col("outcome"))
-    offered = offers.withColumn("result_status", status)
-    missing = (looked.filter(~F.col("__found")).select("batch_id", "pos", "person_id")
-               .withColumn("result_status", F.lit("person_not_found"))
-               .withColumn("detail", F.lit("person not found")))
-    return offered.unionByName(missing, allowMissingColumns=True)
+    """One row per (batch, person): result_status + detail and the offer columns.
+
+    One pass: the offer ``select`` runs over the left-joined frame and the
+    not-found rows are labelled in the same projection (no union of two
+    re-computed branches).
+    """
+    looked = lookup_persons(ids, persons).withColumnRenamed("person_id", "cedula")
+    offers = evaluate_offers(looked, keep=["batch_id", "pos", "__found"])
+    found = F.col("__found")
+    status = (F.when(~found, "person_not_found")
+              .when(F.col("outcome") == "offer", "processed").otherwise(F.col("outcome")))
+    out = (offers.withColumn("result_status", status)
+           .withColumn("detail", F.when(~found, F.lit("person not found")).otherwise(F.col("detail")))
+           .withColumn("outcome", F.when(found, F.col("outcome")))
+           .withColumn("person_name", F.when(found, F.col("person_name"))))
+    return out.drop("__found")
 
 
 def batch_report(results: DataFrame) -> DataFrame:
