@@ -90,7 +90,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY ev D
 
 def _ctx(spark, sf_dir):
     members = derived.member_features(spark, sf_dir)
-    scores = derived.member_scores(spark, sf_dir)
+    scores = derived.member_scores(spark, sf_dir, feats=members)  # one orders aggregate for both sides
     evaluated = nbo.evaluate_products(members, scores, nbo.product_catalog(spark))
     return members, evaluated
 

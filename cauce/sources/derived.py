@@ -184,7 +184,7 @@ def member_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def member_scores(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None) -> DataFrame:
     """Calibrated scores per (member, product) plus the default PD.
 
     Stands in for the output of the nine trained models (M-09) so the
@@ -192,7 +192,7 @@ def member_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     and product position, PD from the member's share of pending orders.
     Long form: (member_id, product_id, p_accept, pd).
     """
-    feats = member_features(spark, sf_dir).select("member_id", "n_orders", "n_pending")
+    feats = (feats if feats is not None else member_features(spark, sf_dir)).select("member_id", "n_orders", "n_pending")
     k = F.col("member_id").cast("bigint") - CEDULA_BASE
     products = [p[0] for p in fixed.PRODUCT_CATALOG]
     rows = F.array(*[
