@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, chat_format, exact_dedup, packing, quality_classifier, quality_rules, toxicity, warc
+from cauce.llm import bpe, chat_format, exact_dedup, hyperminhash, packing, quality_classifier, quality_rules, toxicity, warc
 from cauce.llm.common import crc_remainder, read, work_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
 
 
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
     warc.write_archives(read(spark, sf_dir, "pages"), folder)
@@ -68,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_warc, op4_bpe, op5_packing, op7_chat_format, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_hyperminhash, op3_warc, op4_bpe, op5_packing, op7_chat_format, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
