@@ -39,6 +39,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_number_of(row_col: str | None) -> Column:
+    """A unique number per row: a column that has one, or one made here."""
+    return F.col(row_col) if row_col else F.monotonically_increasing_id()
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a unique row number, and the number's column name
+    (one that ``docs`` does not have)."""
+    column = "row_number"
+    while column in (c.lower() for c in docs.columns):
+        column += "_"
+    return staged(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in ``lower``."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

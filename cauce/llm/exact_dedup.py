@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cauce.llm.common import staged
+from cauce.llm.common import numbered, row_number_of, staged
 
 BLOCK_BYTES = 4096
 #: Bytes of distinct blocks a task gathers before it passes them on.
@@ -32,10 +32,10 @@ def _place_type(id_type: T.DataType) -> T.StructType:
                          T.StructField("id", id_type), T.StructField("sha", T.StringType())])
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int, row_col: str | None) -> DataFrame:
     """(block, places): each distinct block of a flush with where it occurs.
     The first place of a document also carries its id and SHA-256."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), row_number_of(row_col).alias("row"))
     place = _place_type(source.schema["id"].dataType)
 
     def flush(found, ids, arrow):
@@ -51,13 +51,12 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(order, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], ["block", "places"])
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
         found, held, ids, before, arrow = {}, 0, [], 0, None
         for batch in batches:
             arrow = batch.schema.field(0).type
             ids.append(batch.column(0))
-            for i, value in enumerate(batch.column(1)):
-                data = value.as_py().lower()
+            for i, (value, number) in enumerate(zip(batch.column(1), batch.column(2))):
+                data, row = value.as_py().lower(), number.as_py()
                 digest, n = hashlib.sha256(data).hexdigest(), max(1, -(-len(data) // size))
                 for p in range(n):
                     block = data[p * size:(p + 1) * size]
@@ -67,7 +66,6 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                         held += len(block)
                     places.append((row, p, n, before + i, digest if not p else None))
                     held += 100
-                row += 1
                 if held > FLUSH_BYTES:
                     yield flush(found, ids, arrow)
                     found, held = {}, 0
@@ -112,10 +110,10 @@ def _pair_up(rows: DataFrame) -> DataFrame:
     return pairs.join(names, ["a", "b"]).select("row", "pos", "n", "id", "sha", "name")
 
 
-def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: row (a unique number), id, sha (SHA-256 of the
+def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: row (``row_col`` or a number made here), id, sha (SHA-256 of the
     normalised text) and its identity, the pair (n, name)."""
-    rows = staged(_name_blocks(_blocks(docs, id_col, text_col, block_bytes)), "block-names")
+    rows = staged(_name_blocks(_blocks(docs, id_col, text_col, block_bytes, row_col)), "block-names")
     blocks = rows.agg(F.max("n")).first()[0] or 1
     done, width = [rows.where("n = 1")], 1
     if blocks > 1:
@@ -131,15 +129,26 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     return out.select("row", "id", "sha", "n", "name")
 
 
+def _decided(docs: DataFrame, block_bytes: int, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    named = staged(name_documents(docs, block_bytes, id_col, text_col, row_col), "identities")
+    groups = staged(named.groupBy("n", "name").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("id", "row")).alias("stays")).where("size > 1"), "groups")
+    stays = F.coalesce(F.col("stays"), F.struct("id", "row"))
+    return named.join(groups, ["n", "name"], "left").select(
+        "row", F.col("id").alias(id_col), stays["id"].alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        (stays["row"] == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, keep_id, group_size, kept, text_sha256: one row per input row.
 
     Of equal texts the row with the largest id stays; among rows that repeat
     it (or have no id at all) one stays. Null text counts as empty.
     """
-    named = staged(name_documents(docs, block_bytes, id_col, text_col), "identities")
-    groups = staged(named.groupBy("n", "name").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("id", "row")).alias("stays")).where("size > 1"), "groups")
-    stays = F.coalesce(F.col("stays"), F.struct("id", "row"))
-    return named.join(groups, ["n", "name"], "left").select(
-        F.col("id").alias(id_col), stays["id"].alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (stays["row"] == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return _decided(docs, block_bytes, id_col, text_col, None).drop("row")
+
+
+def kept_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the rows that stay."""
+    rows, number = numbered(docs, "documents")
+    dropped = _decided(rows, block_bytes, id_col, text_col, number).where(~F.col("kept")).select(F.col("row").alias(number))
+    return rows.join(dropped, number, "left_anti").select(*docs.columns)

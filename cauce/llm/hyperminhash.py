@@ -19,12 +19,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cauce.llm.common import Words, mix64, slices, staged
+from cauce.llm.common import Words, mix64, numbered, row_number_of, slices, staged
 from cauce.llm.components import components
 
 SHINGLE = 5
@@ -105,21 +104,20 @@ def chance_of_collision(n: float, times: int) -> float:
 _SKETCH = T.StructType([T.StructField("times", T.IntegerType()), T.StructField("registers", T.BinaryType())])
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: row (a unique number), id, n (set size), print
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: row (``row_col`` or a number made here), id, n (set size), print
     (digest of the whole set), keys of its bands, sketches by layout."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_number_of(row_col).alias("row"))
     schema = T.StructType([T.StructField("row", T.LongType()), source.schema[0], T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()),
                            T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketches", T.ArrayType(_SKETCH))])
-    arrow = [pa.int64(), None, pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("times", pa.int32()), ("registers", pa.binary())]))]
+    arrow = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.struct([("times", pa.int32()), ("registers", pa.binary())]))]
 
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for kept, texts in slices(batch, ["id"], "text"):
+            for kept, texts in slices(batch, ["id", "row"], "text"):
                 words = Words(texts)
                 hashed = words.hashes()
-                out = [[], None, [], [], [], []]
+                out = [kept["row"], kept["id"], [], [], [], []]
                 for d in range(len(texts)):
                     s = shingles(words, hashed, d)
                     keys, held = [], []
@@ -127,11 +125,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                         reg = registers(s, times)
                         keys.append(band_keys(reg, times))
                         held.append({"times": times, "registers": reg.tobytes()})
-                    for column, value in zip((0, 2, 3, 4, 5), (row, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                                                              np.concatenate(keys).view(np.int64) if keys else [], held)):
+                    for column, value in zip((2, 3, 4, 5), (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
+                                                    np.concatenate(keys).view(np.int64) if keys else [], held)):
                         out[column].append(value)
-                    row += 1
-                yield pa.RecordBatch.from_arrays([kept["id"] if k == 1 else pa.array(v, arrow[k]) for k, v in enumerate(out)], schema.names)
+                yield pa.RecordBatch.from_arrays([*out[:2], *(pa.array(v, kind) for v, kind in zip(out[2:], arrow))], schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -247,7 +244,7 @@ def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFram
         leaders *= 4
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept, and row: one row per input row.
 
     Null text, empty text and text without words have no shingles and are
@@ -255,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat that id (or have none) one is kept. Null ids never name a component
     that has another id.
     """
-    rows = staged(sketches(docs, id_col, text_col), "sketches")
+    rows = staged(sketches(docs, id_col, text_col, row_col), "sketches")
     copies = staged(rows.where("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("node")).where("size > 1").select("print", "node"), "copies")
     placed = rows.select("row", "id", "n", "print").join(copies, "print", "left").withColumn("node", F.coalesce("node", "row"))
     placed = staged(placed, "placed")
@@ -282,3 +279,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = placed.join(first, "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
                       F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"), "row")
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of one row of each component: that with the smallest id."""
+    rows, number = numbered(docs, "documents")
+    dropped = near_duplicates(rows, id_col, text_col, number).where(~F.col("kept")).select(F.col("row").alias(number))
+    return rows.join(dropped, number, "left_anti").select(*docs.columns)
