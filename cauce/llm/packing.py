@@ -33,7 +33,7 @@ END_ID = 0
 #: Lengths above this share of the capacity are large.
 LARGE_SHARE = 1 / 8
 #: Number of groups of equal cardinality that large lengths are rounded up in.
-GROUPS = 96
+GROUPS = 1000
 
 
 @dataclass
