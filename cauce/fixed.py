@@ -10,8 +10,8 @@ from __future__ import annotations
 # ---------------------------------------------------------------------------
 # FIXED VALUES: identifier formats and batch bounds
 # ---------------------------------------------------------------------------
-CEDULA_PATTERN = r"^[0-9]{5,11}$"
-SYNTHETIC_ID_PATTERN = r"^P[0-9]{1,11}$"
+CEDULA_PATTERN = r"\A[0-9]{5,11}\z"
+SYNTHETIC_ID_PATTERN = r"\AP[0-9]{1,11}\z"
 MIN_BATCH_SIZE = 10
 MAX_BATCH_SIZE = 2000
 MAX_RAW_IDS = 10000
@@ -181,3 +181,84 @@ FOUR_FIFTHS = 0.80
 SPLIT_SEED = 42
 SPLIT_FRACTIONS = (0.6, 0.2, 0.2)
 SAMPLE_SIZE = 1000
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: trigger phrases of each conversation topic
+# ---------------------------------------------------------------------------
+TOPIC_PHRASES = {
+    "thank_you": ["gracias", "gracias a ti", "gracias a usted", "muchas gracias", "grcs"],
+    "goodbye": [
+        "Adiós", "Hasta pronto", "Hasta otra", "¡Adiós!", "No, gracias. Adiós.", "No, gracias a ti, adiós.",
+        "No, gracias a usted, adiós.", "¡Hasta luego!",
+    ],
+    "escalate": [
+        "Hablar con un agente", "Hablar con una persona", "Hablar con alguien", "Devolver llamada",
+        "Llamar al servicio al cliente", "Llámeme, por favor", "Llámame, por favor", "Llamar a soporte",
+        "Llamar a soporte técnico", "Llamar al soporte técnico", "¿Puede llamarme un agente?", "¿Puedo llamar?",
+        "¿Puedo contactar con otra persona?", "¿Puedo ponerme en contacto con otra persona?",
+        "¿Puedo obtener soporte de un agente real?", "¿Me pueden transferir la llamada a una persona?",
+        "¿Me pueden llamar?", "¿Me puede llamar un representante?", "¿Puedo programar una llamada?",
+        "¿Puedo hablar con un representante?", "¿Puedo hablar con un humano?", "¿Puedo hablar con un asistente humano?",
+        "¿Puede llamarme alguien?", "Charlar con un humano", "Charlar con un representante", "Charlar con un agente",
+        "Charlar con alguien", "Conéctame con un agente por chat", "Conécteme con un agente por chat",
+        "Conectarme con un agente por chat", "Conéctame con una persona", "Conécteme con una persona",
+        "Conectarme con una persona", "¿Me podría contactar alguien por teléfono?", "Agente de atención al cliente",
+        "Representante del cliente", "Servicio de atención al cliente", "Necesito hablar con un responsable",
+        "Necesito que un responsable se ponga en contacto conmigo", "Necesito atención al cliente",
+        "Necesito ayuda de una persona", "Necesito hablar con un agente por chat", "Necesito hablar con un especialista",
+        "Quiero hablar con el servicio de atención al cliente", "Quiero continuar con el soporte por chat",
+        "Quiero hablar con un consultor", "Quiero hablar con un técnico por chat", "Me gustaría hablar con un asociado",
+        "Me gustaría hablar con un técnico", "Me gustaría hablar con un miembro del soporte técnico",
+        "Me gustaría hablar con alguien de soporte técnico",
+    ],
+    "start_over": [
+        "empecemos de nuevo", "vamos a empezar de nuevo", "comencemos de nuevo", "volver a empezar", "volver a comenzar",
+        "empezar de nuevo", "comenzar de nuevo", "reiniciar", "reanudar",
+    ],
+    "soat": [
+        "soat information", "what is soat", "soat requirements", "how to get soat", "soat renewal", "soat cost",
+        "buy soat online", "is my soat valid", "soat insurance details", "where can I purchase soat",
+    ],
+    "bicycles": [
+        "información seguro bicicletas Colsubsidio", "cotización seguro patinetas Colsubsidio",
+        "quiero asegurar mi bicicleta con Colsubsidio", "precio seguro para patineta en Colsubsidio",
+        "cómo funciona el seguro de bicicletas Colsubsidio", "beneficios del seguro de patinetas Colsubsidio",
+        "solicitar cotización de seguro para bicicleta y patineta", "seguro para bicicletas y patinetas en Colsubsidio",
+        "protección para mi bicicleta con Colsubsidio",
+    ],
+    "cars": [
+        "información de seguro para carros", "cotización de seguro de auto", "quiero asegurar mi carro",
+        "precio del seguro para autos", "cómo obtener un seguro para mi coche", "cuánto cuesta el seguro de carro",
+        "necesito información sobre seguros automotrices", "solicitar cotización de seguro vehicular", "asegurar mi vehículo",
+    ],
+    "cars_fund": [
+        "información de seguro para carros Colsubsidio", "cotización de seguro de auto Colsubsidio",
+        "quiero asegurar mi carro con Colsubsidio", "precio del seguro para autos Colsubsidio",
+        "cómo obtener un seguro de carro en Colsubsidio", "detalles del seguro automotriz Colsubsidio",
+        "solicitar cotización de seguro vehicular Colsubsidio", "beneficios del seguro para carros en Colsubsidio",
+        "opciones de seguros para autos con Colsubsidio",
+    ],
+    "motorbikes": [
+        "información seguro moto Colsubsidio", "cotización seguro para motos Colsubsidio",
+        "quiero asegurar mi moto con Colsubsidio", "precio seguro de moto Colsubsidio",
+        "cómo obtener seguro para motos en Colsubsidio", "detalles del seguro de motos Colsubsidio",
+        "solicitar cotización de seguro moto Colsubsidio", "beneficios del seguro para motos en Colsubsidio",
+        "qué cubre el seguro de moto Colsubsidio",
+    ],
+}
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: insurance needs (whole words, in priority order; the last
+# field is a complement that follows the product)
+# ---------------------------------------------------------------------------
+INSURANCE_RULES = [
+    (["bicicleta", "bicicletas", "patineta", "patinetas", "scooter", "scooters"], [], "Seguro para Bicicleta, Patineta o Scooter", None),
+    (["soat", "seguro obligatorio"], [], "SOAT", None),
+    (["carro", "carros"], [], "Seguro para Carro", None),
+    (["moto", "motos"], [], "Asistencia para Moto", None),
+    (["perro", "gato", "mascota", "mascotas"], ["enferma", "enferman", "enfermo", "enfermedad", "enfermedades"], "Medicina Prepagada para Mascotas", None),
+    (["veterinario", "veterinaria", "veterinarios", "veterinarias"], [], "Asistencia Veterinaria para Mascotas", None),
+    (["mascota", "mascotas"], [], "Seguro para Mascotas", "Medicina Prepagada para Mascotas"),
+]
+MAX_SUGGESTIONS = 2
+UNKNOWN_TURNS_TO_ESCALATE = 3

@@ -10,7 +10,7 @@ from cauce import fixed
 
 def strip_ws(col: Column) -> Column:
     """Strip leading/trailing whitespace of every kind, like Python's ``str.strip``."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def sanitize_id(raw: Column) -> Column:

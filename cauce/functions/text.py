@@ -50,10 +50,22 @@ def load_labels(text: Column) -> Column:
 def parse_list_value(text: Column) -> Column:
     """Python-repr or JSON list -> list; blank / [] / null -> []; scalar -> one-element list."""
     s = strip_ws(text)
-    as_json = F.from_json(F.regexp_replace(s, "'", '"'), "array<string>")
+    listed = F.startswith(s, F.lit("[")) & F.endswith(s, F.lit("]"))
+    # Python-repr lists quote with ' unless the item holds one: items are cut
+    # at the quotes and commas between them, and keep what quotes they contain
+    inner = strip_ws(F.substring(s, 2, F.length(s) - 2))
+    quoted = r"""\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")\s*"""
+    whole = F.regexp_like(inner, F.lit(rf"\A{quoted}(?:,{quoted})*,?\s*\z"))
+    items = F.transform(F.regexp_extract_all(inner, F.lit(quoted), F.lit(0)), lambda x: F.regexp_replace(
+        F.substring(strip_ws(x), 2, F.length(strip_ws(x)) - 2), r"\\(.)", "$1"))
+    as_json = F.from_json(s, "array<string>")
+    valid = F.schema_of_variant(F.try_parse_json(s)).startswith("ARRAY")
     scalar = F.regexp_replace(s, r"""^["']|["']$""", "")
-    return (F.when(s.isNull() | (s == "") | (F.lower(s) == "nan"), F.array().cast("array<string>"))
-            .when(F.startswith(s, F.lit("[")), F.coalesce(as_json, F.array().cast("array<string>")))
+    nothing = F.array().cast("array<string>")
+    return (F.when(s.isNull() | (s == "") | (F.lower(s) == "nan"), nothing)
+            .when(listed & (inner == ""), nothing)
+            .when(listed & F.coalesce(valid, F.lit(False)) & as_json.isNotNull(), as_json)
+            .when(listed & whole, items)
             .otherwise(F.array(scalar)))
 
 
@@ -69,6 +81,5 @@ def whatsapp_link(phone: Column, message: Column) -> Column:
 def normalize_utterance(text: Column) -> Column:
     """Lower case, accents folded, punctuation to spaces, single spaces, padded."""
     t = fold_accents(F.lower(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(t, r"[^a-z0-9ñ ]+", " ")
-    t = F.regexp_replace(t, r" +", " ")
+    t = F.regexp_replace(t, r"[^a-z0-9]+", " ")
     return F.concat(F.lit(" "), F.trim(t), F.lit(" "))

@@ -3,103 +3,62 @@ response parsing and generated-text cleaning over whole text tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cauce import fixed
 from cauce.functions.ids import strip_ws
-from cauce.functions.text import clean_generated, fold_accents
-from cauce.operators.ordering import row_number_in_group
-
-# FIXED VALUES: topic trigger phrases (topic, phrase), matched on normalised text
-TOPIC_PHRASES = [
-    ("thank_you", "gracias"),
-    ("thank_you", "gracias a ti"),
-    ("thank_you", "gracias a usted"),
-    ("thank_you", "muchas gracias"),
-    ("thank_you", "grcs"),
-    ("goodbye", "adios"),
-    ("goodbye", "hasta pronto"),
-    ("goodbye", "hasta otra"),
-    ("goodbye", "hasta luego"),
-    ("escalate", "hablar con un agente"),
-    ("escalate", "hablar con una persona"),
-    ("escalate", "hablar con alguien"),
-    ("escalate", "devolver llamada"),
-    ("escalate", "llamar al servicio al cliente"),
-    ("escalate", "llameme por favor"),
-    ("escalate", "llamame por favor"),
-    ("escalate", "llamar a soporte"),
-    ("escalate", "llamar a soporte tecnico"),
-    ("escalate", "llamar al soporte tecnico"),
-    ("escalate", "puede llamarme un agente"),
-    ("escalate", "puedo llamar"),
-    ("start_over", "empecemos de nuevo"),
-    ("start_over", "vamos a empezar de nuevo"),
-    ("start_over", "comencemos de nuevo"),
-    ("start_over", "volver a empezar"),
-    ("start_over", "volver a comenzar"),
-    ("start_over", "empezar de nuevo"),
-    ("start_over", "comenzar de nuevo"),
-    ("start_over", "reiniciar"),
-    ("start_over", "reanudar"),
-]
-
-# FIXED VALUES: need keywords -> insurance product, in priority order
-INSURANCE_RULES = [
-    (r"bicicleta|patineta|scooter", "Seguro para Bicicleta, Patineta o Scooter"),
-    (r"soat|seguro obligatorio", "SOAT"),
-    (r"carro", "Seguro para Carro"),
-    (r"moto", "Asistencia para Moto"),
-    (r"(perro|gato|mascota).*enferm", "Medicina Prepagada para Mascotas"),
-    (r"veterinari", "Asistencia Veterinaria para Mascotas"),
-    (r"mascota", "Seguro para Mascotas"),
-]
-MAX_SUGGESTIONS = 2
-UNKNOWN_TURNS_TO_ESCALATE = 3
-
-
-def _topic_patterns() -> dict[str, str]:
-    """One regex per topic: its phrases as alternatives, words separated by
-    any run of non-letters, anchored on non-letter boundaries."""
-    sep = "[^a-z0-9ñ]+"
-    out: dict[str, list[str]] = {}
-    for topic, phrase in TOPIC_PHRASES:
-        out.setdefault(topic, []).append(sep.join(phrase.split(" ")))
-    return {t: "(^|[^a-z0-9ñ])(" + "|".join(alts) + ")([^a-z0-9ñ]|$)" for t, alts in out.items()}
+from cauce.functions.text import ACCENTED, PLAIN, clean_generated, normalize_utterance
+
+
+def normalised_phrases() -> list[tuple[str, str]]:
+    """(topic, phrase) in the form utterances are compared in, each phrase once."""
+    out = []
+    for topic, phrases in fixed.TOPIC_PHRASES.items():
+        for phrase in phrases:
+            folded = phrase.lower().translate(str.maketrans(ACCENTED, PLAIN))
+            pair = (topic, " ".join(re.findall("[a-z0-9]+", folded)))
+            if pair not in out:
+                out.append(pair)
+    return out
 
 
 def tag_intents(utterances: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``topics`` (distinct, sorted) and ``intent``: one topic, ambiguous or unknown.
 
-    Text is lower-cased and accent-folded; each topic is one regular
-    expression over it (whole-stage codegen, no join, no shuffle).
+    An utterance that is exactly a trigger phrase has that phrase's topics;
+    otherwise the topics of all phrases it contains as whole words. Each topic
+    is one regular expression over the normalised text (no join, no shuffle).
     """
-    folded = fold_accents(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    pats = _topic_patterns()
-    flags = [F.when(F.regexp_like(folded, F.lit(pats[t])), F.lit(t)) for t in sorted(pats)]
-    hits = [F.regexp_like(folded, F.lit(pats[t])).cast("int") for t in sorted(pats)]
-    n_hits = hits[0]
-    for h in hits[1:]:
-        n_hits = n_hits + h
-    single = F.coalesce(*flags)
-    df = utterances.withColumn("topics", F.array_compact(F.array(*flags)))
-    return df.withColumn("intent", F.when(n_hits == 0, "unknown").when(n_hits > 1, "ambiguous").otherwise(single))
+    topics = sorted(fixed.TOPIC_PHRASES)
+    pairs = normalised_phrases()
+    columns = utterances.columns
+    work = utterances.withColumn("__norm", normalize_utterance(F.col(text_col)))
+    exact = [F.when(F.trim("__norm").isin([p for t, p in pairs if t == topic]), F.lit(topic)) for topic in topics]
+    within = [F.when(F.regexp_like("__norm", F.lit(" (" + "|".join(p for t, p in pairs if t == topic) + ") ")), F.lit(topic)) for topic in topics]
+    work = work.withColumn("__exact", F.array_compact(F.array(*exact))).withColumn("__within", F.array_compact(F.array(*within)))
+    found = F.when(F.size("__exact") > 0, F.col("__exact")).otherwise(F.col("__within"))
+    work = work.select(*columns, found.alias("topics"))
+    n = F.size("topics")
+    return work.withColumn("intent", F.when(n == 0, "unknown").when(n > 1, "ambiguous").otherwise(F.get("topics", F.lit(0))))
 
 
 def escalations(turns: DataFrame) -> DataFrame:
     """Per conversation: unknown user turns and the turn at which the third occurs.
 
-    The running count inside a conversation comes from the skew-safe
-    group row number (range partitions), so one very long conversation is
-    still spread over many tasks.
+    ``row_number() <= 3`` keeps at most three rows of a conversation per task
+    before the shuffle (Spark's window group limit), so a conversation of any
+    length moves three turns and one partial count.
     """
-    tagged = tag_intents(turns.filter(F.col("role") == "user"))
-    unknown = tagged.filter(F.col("intent") == "unknown").select("conv_id", "turn")
-    numbered = row_number_in_group(unknown, ["conv_id"], ["turn"], out="k")
-    esc = numbered.filter(F.col("k") == UNKNOWN_TURNS_TO_ESCALATE).select("conv_id", F.col("turn").alias("escalation_turn"))
+    unknown = tag_intents(turns.filter(F.col("role") == "user")).filter(F.col("intent") == "unknown").select("conv_id", "turn")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    third = (unknown.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= fixed.UNKNOWN_TURNS_TO_ESCALATE)
+             .groupBy("conv_id").agg(F.max(F.when(F.col("__k") == fixed.UNKNOWN_TURNS_TO_ESCALATE, F.col("turn"))).alias("escalation_turn")))
     counts = unknown.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_unknown"))
     convs = turns.select("conv_id").distinct()
-    out = convs.join(counts, "conv_id", "left").join(esc, "conv_id", "left")
+    out = convs.join(counts, "conv_id", "left").join(third, "conv_id", "left")
     return out.select("conv_id", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"),
                       F.col("escalation_turn").isNotNull().alias("escalated"), "escalation_turn")
 
@@ -118,13 +77,21 @@ def conversation_outcomes(turns: DataFrame) -> DataFrame:
 
 
 def insurance_suggestions(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Up to two insurance products per text, in rule priority order (whole text scanned)."""
-    low = F.lower(F.col(text_col))
-    rules = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(p).alias("pattern"), F.lit(prod).alias("product"))
-                      for i, (p, prod) in enumerate(INSURANCE_RULES)])
-    hits = F.filter(rules, lambda r: F.regexp_like(low, r["pattern"]))
-    picked = F.slice(F.transform(hits, lambda r: r["product"]), 1, MAX_SUGGESTIONS)
-    return texts.select(id_col, picked.alias("suggestions"))
+    """Up to two insurance products per text, in rule priority order (whole text
+    scanned; whole words; a rule's second list must match too). A product's
+    complement follows it."""
+    padded = normalize_utterance(F.col(text_col))
+    work = texts.select(id_col, padded.alias("__norm"))
+
+    def has(words: list[str]):
+        return F.regexp_like("__norm", F.lit(" (" + "|".join(words) + ") "))
+
+    picks = []
+    for any_of, and_any_of, product, complement in fixed.INSURANCE_RULES:
+        hit = has(any_of) & has(and_any_of) if and_any_of else has(any_of)
+        picks += [F.when(hit, F.lit(x)) for x in (product, complement) if x]
+    found = F.array_distinct(F.array_compact(F.array(*picks)))
+    return work.select(id_col, F.slice(found, 1, fixed.MAX_SUGGESTIONS).alias("suggestions"))
 
 
 def clean_responses(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
