@@ -8,7 +8,9 @@ ever empty; documents near a change of this layout carry both. Bands of
 registers give candidate buckets. Inside one, candidates are compared with its
 most popular members only, then, as long as members of different components
 remain, with geometrically more of them, so that no bucket emits all its pairs
-and none loses a link. Candidates pass the collision-corrected Jaccard
+and none loses a link. Pairs that cannot be linked are never formed: set sizes
+rule them out, and after the first round the shingles that a member shares with
+no other one. Candidates pass the collision-corrected Jaccard
 estimate, and links are confirmed on the full shingle sets.
 """
 
@@ -19,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,21 +210,42 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).drop("l_a", "l_b")
 
 
-def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, label) of linked nodes. ``members``: (key, node, score) of all band
+def _possible(other: str) -> Column:
+    """Whether two members may be linked at all, from their set sizes and the
+    shingles that no other open member has (those are in no intersection)."""
+    n, m = F.col("n"), F.col(f"{other}_n")
+    common = F.least(n - F.col("alone"), m - F.col(f"{other}_alone"))
+    return common * (100 + PERCENT) >= (n + m) * PERCENT
+
+
+def _with_alone(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with ``alone``: how many of their shingles no other member has."""
+    nodes = members.select("node").distinct()
+    held = sets.join(nodes, "node").select("node", F.explode("set").alias("shingle"))
+    once = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("node")).where("n = 1")
+    alone = once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return members.drop("alone").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+
+
+def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label) of linked nodes. ``members``: (key, node, n, score) of all band
     buckets with two nodes or more."""
     links, labels, tested, leaders = None, None, None, 1
+    members = members.withColumn("alone", F.lit(0).cast("long"))
     while True:
         if labels is not None:
             # a bucket is done once its members that have not led share a label
             marked = _labelled(members, labels)
             open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-            members = staged(marked.drop("label").join(staged(open_keys, "open"), "key"), "members")
+            members = marked.drop("label").join(open_keys, "key", "left_semi")
+            members = staged(_with_alone(members, sets) if leaders == 4 else members, "members")
             if members.isEmpty():
                 return labels
         order = Window.partitionBy("key").orderBy(F.col("score").desc(), "node")
-        lead = staged(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).select("key", F.col("node").alias("leader")), "leaders")
-        pairs = members.join(lead, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        lead = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
+        lead = staged(lead.select("key", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("alone").alias("leader_alone")), "leaders")
+        pairs = members.join(lead, (members["key"] == lead["key"]) & (F.col("node") != F.col("leader")) & _possible("leader"))
+        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = _across(pairs, labels)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -239,7 +262,7 @@ def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFram
             links = more if links is None else links.unionByName(more)
             labels = staged(components(links), "components")
         if labels is None:
-            labels = staged(components(pairs.limit(0)), "components")
+            labels = staged(components(pairs.select("a", "b").limit(0)), "components")
         members = members.join(lead, (members["key"] == lead["key"]) & (members["node"] == lead["leader"]), "left_anti")
         leaders *= 4
 
@@ -264,7 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = None
     if not members.isEmpty():
         popular = staged(members.groupBy("node").agg(F.sum("size").alias("score")), "scores")
-        members = staged(members.join(popular, "node").select("key", "node", "score"), "members")
+        sizes = placed.select(F.col("row").alias("node"), "n")
+        members = staged(members.join(popular.join(sizes, "node"), "node").select("key", "node", "n", "score"), "members")
         wanted = staged(rows.join(popular, rows["row"] == popular["node"]).select("node", "id", "n", "print", "sketches"), "wanted")
         ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
         source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
