@@ -154,6 +154,10 @@ BAYES_ALPHA = 50
 AFFINITY_HIGH = 70
 AFFINITY_MEDIUM = 45
 SEASONALITY_RATIO = 1.3
+LIFE_EVENT_MONTHS = 12
+NEW_MEMBER_MONTHS = 3
+# "recently cleared credit" has no number in the specification: a quarter
+RECENT_CREDIT_MONTHS = 3
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: generated-text cleaning (prefixes checked in this order)

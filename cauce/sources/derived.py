@@ -184,20 +184,25 @@ def member_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def member_scores(spark: SparkSession, sf_dir: str, feats: DataFrame | None = None) -> DataFrame:
-    """Calibrated scores per (member, product) plus the default PD.
+def decision_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with what the decision needs: features with gaps (null and NaN
+    every so many keys), timing columns, ``pd`` and ``p_accept``.
 
-    Stands in for the output of the nine trained models (M-09) so the
-    decision engine can be checked exactly: propensity from the member key
-    and product position, PD from the member's share of pending orders.
-    Long form: (member_id, product_id, p_accept, pd).
+    The scores stand in for the nine models' output, in arithmetic that another
+    engine repeats exactly: propensity from the member key and product
+    position, PD from the member's share of pending orders.
     """
-    feats = (feats if feats is not None else member_features(spark, sf_dir)).select("member_id", "n_orders", "n_pending")
     k = F.col("member_id").cast("bigint") - CEDULA_BASE
-    products = [p[0] for p in fixed.PRODUCT_CATALOG]
-    rows = F.array(*[
-        F.struct(F.lit(pid).alias("product_id"), (((k * (2 * i + 3) + 17 * i) % 50) / 100.0).alias("p_accept"))
-        for i, pid in enumerate(products)
-    ])
-    pd_col = (F.col("n_pending") + 1.0) / (F.col("n_orders") + 6.0) * 0.5
-    return feats.select("member_id", pd_col.alias("pd"), F.inline(rows))
+    nan, missing = F.lit(float("nan")), F.lit(None)
+    rows = F.map_from_arrays(F.array(*[F.lit(p[0]) for p in fixed.PRODUCT_CATALOG]), F.array(*[
+        ((k * (2 * i + 3) + 17 * i) % 50) / 100.0 for i in range(len(fixed.PRODUCT_CATALOG))]))
+    gap = lambda m, c, v: F.when(k % m == 0, v).otherwise(F.col(c))
+    return member_features(spark, sf_dir).withColumns({
+        "age": gap(97, "age", missing), "income": gap(89, "income", nan), "job_tenure_months": gap(83, "job_tenure_months", missing),
+        "internal_score": gap(79, "internal_score", nan), "debt_ratio": gap(101, "debt_ratio", missing), "category": gap(103, "category", missing),
+        "contract_type": gap(71, "contract_type", missing), "current_delinquency": gap(73, "current_delinquency", missing),
+        "has_mortgage": gap(67, "has_mortgage", missing), "gender": gap(61, "gender", missing),
+        "pd": F.when(k % 59 == 0, missing).otherwise((F.col("n_pending") + 1.0) / (F.col("n_orders") + 6.0) * 0.5),
+        "p_accept": rows, "tenure_months": (k * 19 % 40).cast("double"), "active_credit": (k % 3).cast("double"),
+        "months_since_last_credit": (k * 5 % 48).cast("double"),
+    })
