@@ -48,11 +48,11 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, i
     """(bucket, raw, target): n-gram counts of all documents and of those whose
     id is in ``trusted`` (one column ``id_col``)."""
     marks = trusted.select(F.col(id_col).alias("__tid")).where(F.col("__tid").isNotNull()).distinct().withColumn("__target", F.lit(1))
-    hashed = _hashed(docs, id_col, text_col, [])
-    grams = hashed.select("__id", F.explode(F.concat("__hw", "__h2")).alias("__h"))
-    per_doc = grams.select("__id", F.pmod("__h", F.lit(buckets)).cast("int").alias("bucket"))
-    marked = per_doc.join(marks, per_doc["__id"] == marks["__tid"], "left")
-    return marked.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("__target").alias("target"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__raw"))
+    # marked before the n-grams are made: the join moves each text once, not its n-grams
+    marked = texts.join(marks, texts["__id"] == marks["__tid"], "left")
+    grams = _hashed(marked, "__id", "__raw", ["__target"]).select("__target", F.explode(F.concat("__hw", "__h2")).alias("__h"))
+    return grams.groupBy(F.pmod("__h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("__target").alias("target"))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
