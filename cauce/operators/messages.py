@@ -33,17 +33,19 @@ def benefits_text(reason: Column, amount_cop: Column, rate_pct: Column, term_mon
 def compose_messages(offers: DataFrame, generated: DataFrame | None = None) -> DataFrame:
     """Message text per offer: generated text when present and usable, else template.
 
-    ``generated`` (person_id, text) holds texts produced elsewhere (for
-    example by ``mapInPandas`` over the prompt table); it is left-joined on
-    the person. Channels outside whatsapp/sms/email always use the template.
+    ``generated`` (batch_id, person_id, text) holds texts produced elsewhere
+    (for example by ``mapInPandas`` over the prompt table); it is left-joined on
+    batch and person. Of several texts of one offer the first usable one in
+    text order counts, so an offer stays one message. Channels outside whatsapp/sms/email always use the template.
     """
     tmpl = template_text(F.col("person_name"), F.col("product_name"), F.col("amount_cop"), F.col("annual_rate_pct"),
                          F.col("term_months"), F.col("cuota_cop"), F.col("reason"))
     df = offers.filter(F.col("outcome") == "offer")
     if generated is None:
         return df.withColumn("message_text", tmpl).withColumn("message_source", F.lit("template"))
-    gen = generated.select(F.col("person_id"), strip_ws(F.col("text")).alias("__gen"))
-    df = df.join(gen, "person_id", "left")
+    keys = ["batch_id", "person_id"] if "batch_id" in generated.columns else ["person_id"]
+    texts = generated.select(*keys, F.nullif(strip_ws(F.col("text")), F.lit("")).alias("__gen"))
+    df = df.join(texts.groupBy(*keys).agg(F.min("__gen").alias("__gen")), keys, "left")
     usable = F.col("channel").isin(*fixed.GENERATED_TEXT_CHANNELS) & F.coalesce(F.length("__gen") > 0, F.lit(False))
     return (df.withColumn("message_text", F.when(usable, F.col("__gen")).otherwise(tmpl))
               .withColumn("message_source", F.when(usable, "llm").otherwise("template"))

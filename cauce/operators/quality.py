@@ -6,12 +6,11 @@ per rule / column), never a per-rule job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cauce import fixed
 from cauce.functions.ids import mask_phone
-from cauce.operators.ordering import row_number_in_group
 
 NO_TARGET = "(sin producto)"
 
@@ -133,9 +132,14 @@ def row_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(v).cast("decimal(38,0)").cast("string").alias("fingerprint"))
 
 
+SPLIT_BUCKETS = 4096
+
+
 def shuffle_key(key: Column, seed: int = fixed.SPLIT_SEED) -> Column:
-    """Deterministic pseudo-random order key from an integer id (multiplicative hash)."""
-    return ((key + seed) * 2654435761) % 4294967296
+    """Deterministic pseudo-random order key of any id: the first 52 bits of
+    SHA-256 over seed and id text (ids may have letters and any length)."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, fractions=fixed.SPLIT_FRACTIONS,
@@ -144,21 +148,30 @@ def stratified_split(df: DataFrame, key: str, stratum: str, fractions=fixed.SPLI
 
     Rank r (0-based) inside each stratum in hash order, n = stratum size:
     train if r < f1 n, valid if r < (f1+f2) n, else test (integer arithmetic).
-    The rank comes from the skew-safe group row number, so a stratum holding
-    most rows is still spread over all tasks.
+    Only counts per (stratum, hash bucket) are summed up; a bucket that lies
+    inside one part needs no ranks, and rows are ranked only in the two buckets
+    of a stratum that a cut goes through, so no stratum is sorted as a whole.
     """
     a = int(round(fractions[0] * 10))
     b = int(round((fractions[0] + fractions[1]) * 10))
-    k = F.col(key).cast("bigint")
-    ranked = row_number_in_group(df.withColumn("__h", shuffle_key(k, seed)), [stratum], ["__h", key], out="__r")
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(sizes, stratum)
-    r = F.col("__r") - 1
-    split = F.when(r * 10 < a * F.col("__n"), "train").when(r * 10 < b * F.col("__n"), "valid").otherwise("test")
-    return j.withColumn("split", split).drop("__h", "__r", "__n")
+    hashed = df.withColumn("__h", shuffle_key(F.col(key), seed)).withColumn("__b", F.floor(F.col("__h") / (1 << 40)).cast("int"))
+    counts = hashed.groupBy(F.col(stratum).alias("__s"), "__b").agg(F.count(F.lit(1)).alias("__c"))
+    every = Window.partitionBy("__s")  # at most SPLIT_BUCKETS rows a stratum
+    counts = counts.select("__s", F.col("__b").alias("__k"), "__c", F.sum("__c").over(every).alias("__n"),
+                           (F.sum("__c").over(every.orderBy("__b")) - F.col("__c")).alias("__start"))
+
+    def part(rank):
+        return F.when(rank * 10 < a * F.col("__n"), "train").when(rank * 10 < b * F.col("__n"), "valid").otherwise("test")
+
+    low, high = part(F.col("__start")), part(F.col("__start") + F.col("__c") - 1)
+    counts = counts.withColumn("__whole", F.when(low == high, low))
+    joined = hashed.join(counts, hashed[stratum].eqNullSafe(counts["__s"]) & (hashed["__b"] == counts["__k"]))
+    inside = joined.filter("__whole IS NOT NULL").withColumn("split", F.col("__whole"))
+    within = Window.partitionBy("__s", "__b").orderBy("__h", key)
+    cut = joined.filter("__whole IS NULL").withColumn("split", part(F.col("__start") + F.row_number().over(within) - 1))
+    return inside.unionByName(cut).select(*df.columns, "split")
 
 
 def sample_rows(df: DataFrame, key: str, n: int = fixed.SAMPLE_SIZE, seed: int = fixed.SPLIT_SEED) -> DataFrame:
     """Reproducible sample of n rows: smallest hash keys (top-k per partition, then merged)."""
-    k = F.col(key).cast("bigint")
-    return df.orderBy(shuffle_key(k, seed), k).limit(n)
+    return df.orderBy(shuffle_key(F.col(key), seed), key).limit(n)

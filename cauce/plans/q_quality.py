@@ -102,40 +102,50 @@ def dataset_fingerprint(spark, sf_dir):
     return quality.row_fingerprint(derived.persons(spark, sf_dir), FP_COLS)
 
 
+cte("mixed_ids", """
+SELECT CASE WHEN c % 5 = 0 THEN 'P' || CAST(c AS VARCHAR) WHEN c % 5 = 1 THEN CAST(c * 97 + 10000000000 AS VARCHAR) ELSE cedula END AS cedula,
+       categoria_afiliacion
+FROM (SELECT cedula, categoria_afiliacion, CAST(cedula AS BIGINT) AS c FROM persons) x""", ["persons"])
 cte("split_s", """
 SELECT cedula, categoria_afiliacion, r, n,
        CASE WHEN r * 10 < 6 * n THEN 'train' WHEN r * 10 < 8 * n THEN 'valid' ELSE 'test' END AS split
 FROM (SELECT cedula, categoria_afiliacion,
              row_number() OVER (PARTITION BY categoria_afiliacion
-                                ORDER BY ((CAST(cedula AS BIGINT) + 42) * 2654435761) % 4294967296, CAST(cedula AS BIGINT)) - 1 AS r,
+                                ORDER BY substr(sha256('42:' || cedula), 1, 13), cedula) - 1 AS r,
              count(*) OVER (PARTITION BY categoria_afiliacion) AS n
-      FROM persons) x""", ["persons"])
+      FROM mixed_ids) x""", ["mixed_ids"])
 
 
 def _split_sql(body: str):
     return sql(body, "split_s")
 
 
+def mixed_ids(spark, sf_dir):
+    """Members with ids of every form: 9 digits, 11 digits, P and digits."""
+    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
+    c = F.col("cedula").cast("bigint")
+    return p.withColumn("cedula", F.when(c % 5 == 0, F.concat(F.lit("P"), F.col("cedula"))).when(c % 5 == 1, (c * 97 + 10000000000).cast("string")).otherwise(F.col("cedula")))
+
+
 @register("split_assignment", "W-13", _split_sql("SELECT cedula, categoria_afiliacion, split FROM split_s"))
 def split_assignment(spark, sf_dir):
-    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
+    p = mixed_ids(spark, sf_dir)
     return quality.stratified_split(p, "cedula", "categoria_afiliacion").select("cedula", "categoria_afiliacion", "split")
 
 
 @register("split_sizes", "A-31, W-13", _split_sql(
     "SELECT categoria_afiliacion, split, CAST(count(*) AS BIGINT) AS n FROM split_s GROUP BY 1, 2"))
 def split_sizes(spark, sf_dir):
-    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
+    p = mixed_ids(spark, sf_dir)
     s = quality.stratified_split(p, "cedula", "categoria_afiliacion")
     return s.groupBy("categoria_afiliacion", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("sample_rows", "W-12", sql("""
-SELECT cedula, categoria_afiliacion FROM persons
-ORDER BY ((CAST(cedula AS BIGINT) + 42) * 2654435761) % 4294967296, CAST(cedula AS BIGINT) LIMIT 1000""", "persons"))
+SELECT cedula, categoria_afiliacion FROM mixed_ids
+ORDER BY substr(sha256('42:' || cedula), 1, 13), cedula LIMIT 1000""", "mixed_ids"))
 def sample_rows(spark, sf_dir):
-    p = derived.persons(spark, sf_dir).select("cedula", "categoria_afiliacion")
-    return quality.sample_rows(p, "cedula")
+    return quality.sample_rows(mixed_ids(spark, sf_dir), "cedula")
 
 
 def _encoded_sql() -> str:

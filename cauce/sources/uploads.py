@@ -10,41 +10,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cauce import fixed
 from cauce.functions.ids import strip_ws
 
 
-def read_id_files(spark: SparkSession, path: str) -> DataFrame:
+def id_lines(files: DataFrame) -> DataFrame:
+    """Lines of whole files: adds ``line_no`` and ``value``. A quoted CSV cell may hold line breaks."""
+    csv = F.endswith(F.lower("file_path"), F.lit(".csv"))
+    text = F.regexp_replace("content", "^\uFEFF", "")
+    # a line break splits where an even number of quotes follows up to the end
+    lines = F.when(csv & F.contains(text, F.lit('"')), F.split(text, r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*\z)')).otherwise(F.split(text, r"\r?\n"))
+    return files.select(*[c for c in files.columns if c != "content"], F.posexplode(lines).alias("line_no", "value"))
+
+
+def read_id_files(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:
     """Lines of ``.csv``/``.txt`` files under ``path`` with file and line identity.
 
-    Empty files are skipped (``_metadata.file_size > 0``). Each file is read
-    whole (``wholetext``) so the line order survives; an upload is bounded by
-    the transport cap of 10 000 ids, and files are spread over tasks.
+    Each file is one row (``wholetext``), so its line order survives; that
+    is bounded, because files above ``max_bytes`` (the transport cap of ids at
+    their longest, with quotes and breaks) are refused: the job fails. Empty
+    files are skipped. Files are spread over tasks.
     """
-    df = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}").load(path)
-          .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
-          .filter(F.col("size") > 0))
-    lines = df.select("file_path", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "value"))
-    return lines
+    files = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}").load(path)
+             .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
+             .filter(F.col("size") > 0))
+    sized = files.withColumn("content", F.when(F.col("size") <= max_bytes, F.col("content")).otherwise(
+        F.raise_error(F.concat(F.lit("upload larger than the transport cap: "), F.col("file_path"))).cast("string")))
+    return id_lines(sized.drop("size"))
 
 
-def parse_id_lines(lines: DataFrame, keep: list[str] | None = None, csv: bool = True) -> DataFrame:
+def parse_id_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Cells of each line as rows: (keep..., pos, raw_id).
 
-    ``pos`` orders cells by (line, cell) when ``line_no`` is present,
-    otherwise by cell within the line. CSV splits on commas; TXT keeps the
-    whole line. Blank cells are dropped; cells are stripped.
+    ``pos`` is the struct (line, cell), so it orders cells however long a line
+    is. Lines of ``.txt`` files (by ``file_path``) are one id each; others are
+    CSV: cells end at commas outside quotes, quotes around a cell go and
+    doubled ones inside become one. Blank cells are dropped; cells are stripped.
     """
     keep = keep or []
-    value = F.regexp_replace(F.col("value"), "^﻿", "")
     line_no = F.col("line_no") if "line_no" in lines.columns else F.lit(0)
-    base = lines.select(*keep, line_no.alias("__line"), value.alias("__v"))
-    if csv:
-        cells = base.select(*keep, "__line", F.posexplode(F.split("__v", ",")).alias("__cell", "raw"))
-    else:
-        cells = base.select(*keep, "__line", F.lit(0).alias("__cell"), F.col("__v").alias("raw"))
-    cells = cells.withColumn("raw_id", strip_ws(F.col("raw"))).filter(F.length("raw_id") > 0)
-    pos = F.col("__line").cast("bigint") * 100000 + F.col("__cell")
-    return cells.select(*keep, pos.alias("pos"), "raw_id")
+    txt = F.endswith(F.lower("file_path"), F.lit(".txt")) if "file_path" in lines.columns else F.lit(False)
+    value = F.regexp_replace(F.col("value"), "^\uFEFF", "")
+    split = F.when(F.contains(value, F.lit('"')), F.split(value, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)')).otherwise(F.split(value, ","))
+    cells = lines.select(*keep, line_no.alias("__line"), txt.alias("__txt"), F.posexplode(F.when(txt, F.array(value)).otherwise(split)).alias("__cell", "__raw"))
+    bare = strip_ws(F.col("__raw"))
+    quoted = F.regexp_like(bare, F.lit(r'(?s)\A".*"\z')) & ~F.col("__txt") & (F.length(bare) >= 2)
+    inner = strip_ws(F.replace(F.substring(bare, 2, F.length(bare) - 2), F.lit('""'), F.lit('"')))
+    raw = F.when(quoted, inner).otherwise(bare)
+    pos = F.struct(F.col("__line").cast("bigint").alias("line"), F.col("__cell").cast("bigint").alias("cell"))
+    return cells.select(*keep, pos.alias("pos"), raw.alias("raw_id")).filter(F.length("raw_id") > 0)
 
 
 def export_persons_csv(persons: DataFrame, path: str) -> None:

@@ -1,11 +1,10 @@
 """Structured Streaming jobs.
 
-X-01 dropped id files -> parsed cells -> triage table (one batch per file)
-X-02 duplicate-safe intake: a re-submitted (batch, person) is dropped within
-     the watermark (``dropDuplicatesWithinWatermark``)
-X-03 campaign per micro-batch with an idempotent outbox (``foreachBatch``,
-     anti-join on what is already stored)
-X-04 live batch progress (streaming aggregate, update mode)
+X-01 dropped id files -> parsed cells -> triage (one batch per file content)
+X-02 duplicate-safe intake: a file with stored content is not processed again
+X-03 campaign per micro-batch with the size gate and idempotent tables
+     (``foreachBatch``, anti-join on the keys stored for the batches in hand)
+X-04 live batch progress: finished over total of each accepted batch
 X-05 interaction stream -> windowed channel accept counts and smoothed rates
 
 All jobs take their checkpoint folder under ``spark.checkpoint.dir`` so a
@@ -21,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cauce.operators.campaign import person_results
-from cauce.operators.intake import triage_ids
+from cauce import fixed
+from cauce.operators.intake import accepted_ids, intake_counts, triage_ids
 from cauce.operators.messages import compose_messages
 from cauce.session import shared_path
-from cauce.sources.uploads import parse_id_lines
+from cauce.sources.uploads import id_lines, parse_id_lines
 
 INTERACTION_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -34,77 +34,89 @@ INTERACTION_SCHEMA = T.StructType([
 
 
 def id_file_stream(spark: SparkSession, in_dir: str) -> DataFrame:
-    """X-01: numbered lines of every dropped ``.csv``/``.txt`` file (one upload = one batch).
+    """X-01: whole dropped ``.csv``/``.txt`` files; the batch id is the hash of
+    the content, so a file sent again is the same batch, whatever its name.
+    ``maxFileAge`` keeps files that arrive with an old time (the source would
+    leave out those a week behind the newest)."""
+    return (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}")
+            .option("maxFilesPerTrigger", 100).option("maxFileAge", "36500d").load(in_dir)
+            .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
+            .filter((F.col("size") > 0) & (F.col("size") <= fixed.MAX_UPLOAD_BYTES))
+            .withColumn("batch_id", F.sha2(F.col("content").cast("binary"), 256)).drop("size"))
 
-    Each file is read whole (an upload is capped at 10 000 ids by the
-    transport contract), so line order survives.
-    """
-    files = (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}")
-             .option("maxFilesPerTrigger", 100).load(in_dir)
-             .select("value", F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_modification_time").alias("received_at")))
-    # batch id = hash of the upload's content: replay-safe and equal for a re-sent file
-    files = files.withColumn("batch_id", F.sha2(F.col("value"), 256))
-    return files.select("batch_id", "file_path", "received_at",
-                        F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "value"))
-
-
-def intake_stream(spark: SparkSession, in_dir: str, watermark: str = "1 day") -> DataFrame:
-    """X-01 + X-02: parsed cells, duplicate (batch, cell) re-submissions dropped.
-
-    The batch id is a deterministic hash of the upload (replay-safe, unlike
-    ``uuid()``), so a re-sent file is dropped; the watermark on the file time
-    bounds the dedupe state.
-    """
-    lines = id_file_stream(spark, in_dir)
-    cells = parse_id_lines(lines, keep=["batch_id", "received_at"])
-    return (cells.withWatermark("received_at", watermark)
-            .dropDuplicatesWithinWatermark(["batch_id", "pos", "raw_id"]))
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder exists; an unreachable store raises."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _stored(spark: SparkSession, path: str, batches: DataFrame) -> DataFrame | None:
+    """Rows already stored for the batches in hand: the table is partitioned
+    by ``bucket`` and ``batch_id``, so only their folders are read."""
+    if not _exists(spark, path):
+        return None
+    return spark.read.parquet(path).join(F.broadcast(batches), ["bucket", "batch_id"], "left_semi")
 
 
 def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, out_dir: str,
                         checkpoint: str | None = None, available_now: bool = True):
-    """X-03: per micro-batch triage -> offers -> messages; idempotent outbox append.
-
-    ``foreachBatch`` anti-joins the new messages with the stored outbox on
-    (batch_id, person_id), so a replayed micro-batch never writes twice.
+    """X-02, X-03: per micro-batch triage -> size gate -> offers -> messages.
+
+    Uploads are told apart by content hash: one that is stored already (in any
+    earlier micro-batch, however old its file) is not processed again, so a
+    replay or a re-sent file changes nothing. Three tables, each partitioned by
+    ``bucket`` (64 by batch id), hold batches (with the gate's verdict and
+    counts), results and outbox. The batch row is written last; a micro-batch
+    that broke off before it is redone, and what it had written is left out by
+    key. A failing read fails the micro-batch.
     """
     checkpoint = checkpoint or shared_path(spark, "stream-campaign")
-    outbox = os.path.join(out_dir, "outbox")
-    results_path = os.path.join(out_dir, "results")
+    paths = {t: os.path.join(out_dir, t) for t in ("batches", "results", "outbox")}
 
-    def handle(batch_df: DataFrame, batch_id: int) -> None:
-        if batch_df.isEmpty():
-            return
-        triaged = triage_ids(batch_df.select("batch_id", "pos", "raw_id"))
-        ids = triaged.filter(F.col("verdict") == "valid").select("batch_id", "pos", "person_id")
-        results = person_results(ids, persons)
-        msgs = compose_messages(results.filter(F.col("result_status") == "processed")).select(
-            "batch_id", "person_id", "product_id", "channel", "contact_window", "message_text", "message_source")
+    def write(df: DataFrame, table: str, keys: list[str], batches: DataFrame) -> None:
+        done = _stored(spark, paths[table], batches)
+        if done is not None:
+            df = df.join(done.select(*keys), keys, "left_anti")
+        df.write.mode("append").partitionBy("bucket").parquet(paths[table])
+
+    def handle(files: DataFrame, number: int) -> None:
+        files = files.dropDuplicates(["batch_id"]).withColumn("bucket", F.pmod(F.crc32(F.col("batch_id").cast("binary")), F.lit(64)).cast("int")).persist()
         try:
-            stored = spark.read.parquet(outbox).select("batch_id", "person_id")
-            msgs = msgs.join(stored, ["batch_id", "person_id"], "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
-            pass
-        msgs.write.mode("append").partitionBy("batch_id").parquet(outbox)
-        results.select("batch_id", "person_id", "result_status").write.mode("append").parquet(results_path)
-
-    q = (intake_stream(spark, in_dir).writeStream.foreachBatch(handle)
+            batches = files.select("bucket", "batch_id")  # at most maxFilesPerTrigger rows
+            done = _stored(spark, paths["batches"], batches)
+            fresh = files if done is None else files.join(F.broadcast(done.select("batch_id")), "batch_id", "left_anti")
+            if fresh.isEmpty():
+                return
+            cells = parse_id_lines(id_lines(fresh), keep=["batch_id", "file_path"])
+            triaged = triage_ids(cells).persist()
+            counts = intake_counts(triaged)
+            results = person_results(accepted_ids(triaged, counts), persons).join(F.broadcast(batches), "batch_id").persist()
+            write(results.select("bucket", "batch_id", "person_id", "result_status"), "results", ["batch_id", "person_id"], batches)
+            messages = compose_messages(results.filter(F.col("result_status") == "processed"))
+            write(messages.select("bucket", "batch_id", "person_id", "product_id", "channel", "contact_window", "message_text", "message_source"),
+                  "outbox", ["batch_id", "person_id"], batches)
+            gated = fresh.select("bucket", "batch_id").join(counts, "batch_id", "left").withColumn("gate", F.coalesce("gate", F.lit("too_small")))
+            write(gated.select("bucket", "batch_id", "gate", "raw_count", "count", "invalid_count", "duplicate_count"), "batches", ["batch_id"], batches)
+            results.unpersist()
+            triaged.unpersist()
+        finally:
+            files.unpersist()
+
+    q = (id_file_stream(spark, in_dir).writeStream.foreachBatch(handle)
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
     return q.start()
 
 
-def progress_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str | None = None):
-    """X-04: running count of cells per batch (update mode through ``foreachBatch``)."""
-    checkpoint = checkpoint or shared_path(spark, "stream-progress")
-    counts = intake_stream(spark, in_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("cells"))
-
-    def handle(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df.withColumn("micro_batch", F.lit(batch_id)).write.mode("append").parquet(out_dir)
-
-    return (counts.writeStream.outputMode("update").foreachBatch(handle)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def progress(spark: SparkSession, out_dir: str) -> DataFrame:
+    """X-04: finished persons over all valid ids of each accepted batch, from
+    the tables the stream writes (0 while a batch has no result yet)."""
+    batches = spark.read.parquet(os.path.join(out_dir, "batches")).filter(F.col("gate") == "accepted")
+    finished = spark.read.parquet(os.path.join(out_dir, "results")).groupBy("batch_id").agg(F.count(F.lit(1)).alias("finished"))
+    return batches.join(finished, "batch_id", "left").select(
+        "batch_id", F.coalesce("finished", F.lit(0)).alias("finished"), F.col("count").alias("total"),
+        F.try_divide(F.coalesce("finished", F.lit(0)), F.col("count")).alias("progress"))
 
 
 def interaction_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet") -> DataFrame:

@@ -37,20 +37,35 @@ def test_encoder_fit_transform_save_load(spark, tmp_path):
     assert set(fixed.NUMERIC_COLS) <= set(again.feature_names())
 
 
-def test_stream_campaign_idempotent(spark, personas, tmp_path):
+IDS = [f"100000{k:02d}" for k in range(1, 7)] + ["P0001", "P0002", "P0003", "99999999"]
+
+
+def _run(spark, personas, tmp_path):
+    q = jobs.run_campaign_stream(spark, str(tmp_path / "in"), personas, str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
+    q.awaitTermination()
+    return {t: spark.read.parquet(str(tmp_path / "out" / t)).collect() for t in ("batches", "results", "outbox")}
+
+
+def test_stream_campaign(spark, personas, tmp_path):
+    """Old files, re-sent files and files below the gate; a replay changes nothing."""
     inbox = tmp_path / "in"
     inbox.mkdir()
-    ids = "10000001,10000002\n10000003\n10000006,99999999\n"
-    (inbox / "u1.csv").write_text(ids, encoding="utf-8")
-    out = tmp_path / "out"
-    q = jobs.run_campaign_stream(spark, str(inbox), personas, str(out), checkpoint=str(tmp_path / "ck"))
-    q.awaitTermination()
-    first = spark.read.parquet(str(out / "outbox")).count()
-    assert first == 3
+    (inbox / "u1.csv").write_text("\ufeff" + ",".join(IDS[:5]) + "\r\n" + '"10000006", "P0001"\n' + ",".join(IDS[7:]) + "\n", encoding="utf-8")
+    (inbox / "small.csv").write_text(",".join(IDS[:9]), encoding="utf-8")
+    first = _run(spark, personas, tmp_path)
+    assert sorted((r["gate"], r["count"]) for r in first["batches"]) == [("accepted", 10), ("too_small", 9)]
+    status = [r["result_status"] for r in first["results"]]
+    assert {s: status.count(s) for s in set(status)} == {"processed": 8, "no_offer": 1, "person_not_found": 1}
+    assert len(first["outbox"]) == 8
     time.sleep(1.1)
-    (inbox / "u1_again.csv").write_text(ids, encoding="utf-8")   # same content re-sent
-    q = jobs.run_campaign_stream(spark, str(inbox), personas, str(out), checkpoint=str(tmp_path / "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(str(out / "outbox")).count() == first
-    res = spark.read.parquet(str(out / "results")).groupBy("result_status").count().collect()
-    assert {r["result_status"]: r["count"] for r in res} == {"processed": 3, "no_offer": 1, "person_not_found": 1}
+    (inbox / "u1_again.csv").write_bytes((inbox / "u1.csv").read_bytes())  # same content, other name
+    old = inbox / "old.txt"
+    old.write_text("\n".join([*IDS[:9], "P0004"]), encoding="utf-8")
+    os.utime(old, (time.time() - 30 * 86400,) * 2)
+    second = _run(spark, personas, tmp_path)
+    assert len(second["batches"]) == 3 and len(second["results"]) == 20 and len(second["outbox"]) == 8 + 9
+    again = jobs.run_campaign_stream(spark, str(inbox), personas, str(tmp_path / "out"), checkpoint=str(tmp_path / "ck2"))  # replay of everything
+    again.awaitTermination()
+    assert {t: spark.read.parquet(str(tmp_path / "out" / t)).count() for t in second} == {t: len(v) for t, v in second.items()}
+    done = jobs.progress(spark, str(tmp_path / "out")).collect()
+    assert [(r["finished"], r["total"], r["progress"]) for r in done] == [(10, 10, 1.0)] * 2

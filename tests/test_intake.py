@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cauce.functions.ids import is_person_id, sanitize_id
@@ -55,3 +56,32 @@ def test_csv_and_txt_parsing(spark, tmp_path):
     assert by["b.csv"] == ["12345678", "87654321"]
     assert by["c.txt"] == ["12345678", "87654321"]
     assert "d.pdf" not in by and "e.csv" not in by
+
+
+def test_quoted_cells_blanks_and_long_lines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"12345678", "P""1" ,"a\nb"\n\u00a087654321\u00a0,"x,y"\n', encoding="utf-8")
+    (tmp_path / "t.TXT").write_text("no", encoding="utf-8")
+    (tmp_path / "t.txt").write_text('12345, 67890\n"55555"\n', encoding="utf-8")
+    rows = parse_id_lines(read_id_files(spark, str(tmp_path)), keep=["file_path"]).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["file_path"], r["pos"])):
+        by.setdefault(r["file_path"].rsplit("/", 1)[-1], []).append(r["raw_id"])
+    assert by == {"q.csv": ["12345678", 'P"1', "a\nb", "87654321", "x,y"], "t.txt": ["12345, 67890", '"55555"']}
+    long = spark.createDataFrame([("b", 0, ",".join(["7"] * 150_001)), ("b", 1, "8")], "batch_id string, line_no int, value string")
+    last = parse_id_lines(long, keep=["batch_id"]).orderBy("pos").collect()
+    assert [r["raw_id"] for r in last[-2:]] == ["7", "8"] and len({r["pos"] for r in last}) == 150_002
+
+
+def test_uploads_above_the_cap_are_refused(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("12345678," * 100, encoding="utf-8")
+    with pytest.raises(Exception, match="transport cap"):
+        read_id_files(spark, str(tmp_path), max_bytes=100).collect()
+
+
+def test_ids_end_where_the_text_ends(spark):
+    values = ["12345\u2028", "\u00a012345\u00a0", "\u200512345", "12345\n", "P1\u2028x"]
+    df = spark.createDataFrame([(v,) for v in values], "raw string")
+    got = [r["ok"] for r in df.select(is_person_id(sanitize_id(F.col("raw"))).alias("ok")).collect()]
+    assert got == [True, True, True, True, False]
+    bare = spark.createDataFrame([("12345\u2028",)], "x string")
+    assert bare.select(is_person_id(F.col("x")).alias("ok")).first()["ok"] is False
