@@ -19,7 +19,7 @@ from cauce.llm.common import ASCII_SPACE
 BUCKETS = 8192
 SMOOTHING = 1.0
 #: Documents whose mean log ratio is lower fail.
-THRESHOLD = -0.35
+THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10

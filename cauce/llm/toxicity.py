@@ -4,7 +4,8 @@ Words of labelled documents are tagged toxic when one of their lexical units
 (the word, or its first 4 to 6 letters) is tied to toxic documents beyond
 chance; a two-state linear-chain CRF with hashed word and affix features is
 trained on these tags. Forward-backward marginals of every word of a whole
-text give the offending spans, and their noisy-or the document's score.
+text give the offending spans, and the noisy-or of its likely words (the
+largest marginal, if there is none) the document's score.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ MAX_TAGGED_CHARS = 20_000
 CHANCE = 15.0
 CUT = 0.3
 SPAN_CUT = 0.5
+#: Words below this marginal do not add up: a long clean text is no toxic one.
+BACKGROUND = 0.1
 DIMENSIONS = 1 << 18
 _BLOCK = 64
 _ALNUM = np.zeros(256, bool)
@@ -143,7 +146,7 @@ def _ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return firsts, lasts
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, lexicon: np.ndarray, epochs: int = 30, l2: float = 3e-6) -> Crf:
+def fit(texts: list[bytes], toxic: np.ndarray, lexicon: np.ndarray, epochs: int = 60, l2: float = 1e-6) -> Crf:
     """Train on texts whose words are tagged by the lexicon (toxic texts only).
     Without tagged words, the score is the share of toxic texts."""
     words = Words(texts)
@@ -199,11 +202,40 @@ def _document_counts(rows: DataFrame, only: np.ndarray | None = None) -> DataFra
     return rows.select("text").mapInArrow(run, _COUNTS).groupBy("unit").agg(F.sum("n").alias("n"))
 
 
+_SIGNATURE = 8
+
+
+def _distinct_ids(rows: DataFrame) -> DataFrame:
+    """(id, y) of a bounded sample without near copies: texts whose word sets
+    share two neighbouring minima of eight are taken as one. Copies would make
+    any word of a copied text look tied to its label. Only the minima of the
+    sample's rows are collected."""
+    seeds = mix64(np.arange(1, _SIGNATURE + 1, dtype=np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            for kept, texts in slices(batch, ["id", "y"], "text"):
+                words = Words(texts)
+                hashed = words.hashes()
+                least = [np.min(mix64(hashed[a:b, None] ^ seeds), axis=0).tobytes() if b > a else bytes(8 * _SIGNATURE)
+                         for a, b in zip(words.first[:-1], words.first[1:])]
+                yield pa.RecordBatch.from_arrays([*kept.values(), pa.array(least, pa.binary())], ["id", "y", "least"])
+
+    source = rows.select("id", "y", "text")
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("least", T.BinaryType())])
+    seen, chosen = set(), {}
+    for r in source.mapInArrow(run, schema).orderBy("id", "least").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect():
+        bands = {(k, bytes(r["least"][16 * k:16 * k + 16])) for k in range(_SIGNATURE // 2)}
+        if r["id"] not in chosen and not bands & seen:
+            chosen[r["id"]] = r["y"]
+        seen |= bands
+    return rows.sparkSession.createDataFrame(list(chosen.items()), rows.select("id", "y").schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Crf:
     """Fit on bounded samples of the labelled rows that satisfy ``use``."""
     ids = labelled.labelled_ids(docs, labels, label, use, id_col)
-    toxic = labelled.sample(ids.where("y = 1"), MAX_TOXIC)
-    clean = labelled.sample(ids.where("y = 0"), MAX_CLEAN)
+    toxic, clean = (_distinct_ids(labelled.texts_of(docs, labelled.sample(ids.where(f"y = {y}"), n), id_col, text_col)) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN)))
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic:
         return fit([], np.zeros(0, bool), np.zeros(0, np.uint64))
@@ -232,7 +264,10 @@ def tag(texts: list[bytes], model: Crf) -> tuple[np.ndarray, list[list[dict]]]:
         return np.zeros(len(texts)), spans
     hashed, start, end = units(words)
     p = model.marginals(hashed, *_ends(words))
-    score = -np.expm1(np.bincount(words.doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)))
+    score = np.zeros(len(texts))
+    np.maximum.at(score, words.doc, p)
+    likely = p >= BACKGROUND
+    score = np.maximum(score, -np.expm1(np.bincount(words.doc[likely], np.log1p(-np.minimum(p[likely], 1 - 1e-12)), len(texts))))
     for i in np.flatnonzero(p >= SPAN_CUT).tolist():
         d = int(words.doc[i])
         done = spans[d][-1] if spans[d] else {"end": 0, "_byte": 0}
