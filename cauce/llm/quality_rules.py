@@ -49,8 +49,9 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, i
     id is in ``trusted`` (one column ``id_col``)."""
     marks = trusted.select(F.col(id_col).alias("__tid")).where(F.col("__tid").isNotNull()).distinct().withColumn("__target", F.lit(1))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__raw"))
-    # marked before the n-grams are made: the join moves each text once, not its n-grams
-    marked = texts.join(marks, texts["__id"] == marks["__tid"], "left")
+    # marked before the n-grams are made: the join moves each text once, not its n-grams.
+    # The trusted ids grow with the corpus: merged at every size, never broadcast
+    marked = texts.join(marks.hint("merge"), texts["__id"] == marks["__tid"], "left")
     grams = _hashed(marked, "__id", "__raw", ["__target"]).select("__target", F.explode(F.concat("__hw", "__h2")).alias("__h"))
     return grams.groupBy(F.pmod("__h", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("__target").alias("target"))
 
