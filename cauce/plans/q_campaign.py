@@ -110,7 +110,7 @@ def offer_terms_parsed(spark, sf_dir):
                     parse_rate_display(F.col("annual_rate_pct")).cast("double").alias("rate_value"))
 
 
-@register("orphan_messages", "J-10, J-11, T-04", sql("""
+@register("orphan_messages", "J-10", sql("""
 SELECT batch_id, CAST(count(*) AS BIGINT) AS n_messages,
        CAST(count(*) FILTER (WHERE person_id NOT IN (SELECT cedula FROM persons)) AS BIGINT) AS n_orphans
 FROM results WHERE result_status = 'processed' GROUP BY batch_id""", "results", "persons"))

@@ -53,7 +53,7 @@ def _model_frame(spark, sf_dir):
     return quality.stratified_split(m, "__key", "default_12m")
 
 
-@register("model_default_scores", "M-01, M-02, M-05, M-06, M-08, M-09, M-10, S-15")
+@register("model_default_scores", "M-01, M-02, M-05, M-06, M-08, M-09")
 def model_default_scores(spark, sf_dir):
     """GBT on train, isotonic on valid, calibrated scores for every member (rows-only check)."""
     frame = _model_frame(spark, sf_dir)
@@ -65,7 +65,7 @@ def model_default_scores(spark, sf_dir):
                       F.col("raw_score").alias("raw"), "calibrated")
 
 
-@register("model_calibration_report", "A-15, A-16, M-07, S-14")
+@register("model_calibration_report", "A-15, A-16")
 def model_calibration_report(spark, sf_dir):
     """Raw vs calibrated Brier/ECE and AUC on the test split (rows-only check)."""
     s = model_default_scores(spark, sf_dir).filter(F.col("split") == "test")
@@ -86,7 +86,7 @@ def _scorecard(spark, sf_dir):
     return woe, lr
 
 
-@register("scorecard_drivers", "M-03, M-11, W-03, F-37")
+@register("scorecard_drivers", "M-03, M-11, W-03")
 def scorecard_drivers(spark, sf_dir):
     """Top-3 positive scorecard attributions per member (rows-only check)."""
     woe, lr = _scorecard(spark, sf_dir)
@@ -94,7 +94,7 @@ def scorecard_drivers(spark, sf_dir):
     return models.top_positive_drivers(phi, "member_id")
 
 
-@register("attribution_importance", "A-19, W-11, M-12, A-32")
+@register("attribution_importance", "A-19, W-11, M-12")
 def attribution_importance(spark, sf_dir):
     """Mean |phi| per feature, descending (rows-only check)."""
     woe, lr = _scorecard(spark, sf_dir)

@@ -31,7 +31,7 @@ NUMERIC_CHECK = ["age", "income", "job_tenure_months", "internal_score", "debt_r
                  "has_mortgage", "digital_affinity", "months_since_event", "dependents"]
 
 
-@register("missing_features", "V-10, V-11, V-12, T-01", sql("\nUNION ALL ".join(
+@register("missing_features", "V-12", sql("\nUNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS BIGINT) AS n_bad FROM members"
     for c in NUMERIC_CHECK), "members"))
 def missing_features(spark, sf_dir):
@@ -170,7 +170,7 @@ def _encoded_sql() -> str:
     return "SELECT " + ",\n       ".join(cols) + " FROM persons"
 
 
-@register("encoded_features", "E-01, E-02, E-03, E-04, E-05, E-06, E-07, T-05, F-28", sql(_encoded_sql(), "persons"))
+@register("encoded_features", "E-01, E-02, E-03, E-04, E-05, E-06, E-07, T-05", sql(_encoded_sql(), "persons"))
 def encoded_features(spark, sf_dir):
     persons = derived.persons(spark, sf_dir)
     enc = FeatureEncoder().fit(persons)
