@@ -29,7 +29,7 @@ from cauce.llm.common import Words, mix64, numbered, row_number_of, slices, stag
 from cauce.llm.components import components
 
 SHINGLE = 5
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= percent * union. op2's own contract; callers may name another.
 PERCENT = 85
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
@@ -60,10 +60,10 @@ def repetitions(n: int) -> int:
     return min(_MOST, 1 << max(0, math.ceil(math.log2(REGISTERS * _PER_BUCKET / n))))
 
 
-def layouts(n: int) -> list[int]:
+def layouts(n: int, percent: int = PERCENT) -> list[int]:
     """Layouts a set of ``n`` is sketched in: its own, and that of the smallest
     set it may be linked to, if that differs."""
-    return sorted({repetitions(n), repetitions(-(-n * PERCENT // 100))})
+    return sorted({repetitions(n), repetitions(-(-n * percent // 100))})
 
 
 def registers(hashes: np.ndarray, times: int) -> np.ndarray:
@@ -106,7 +106,8 @@ def chance_of_collision(n: float, times: int) -> float:
 _SKETCH = T.StructType([T.StructField("times", T.IntegerType()), T.StructField("registers", T.BinaryType())])
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+             percent: int = PERCENT) -> DataFrame:
     """One row per document: row (``row_col`` or a number made here), id, n (set size), print
     (digest of the whole set), keys of its bands, sketches by layout."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_number_of(row_col).alias("row"))
@@ -123,7 +124,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                 for d in range(len(texts)):
                     s = shingles(words, hashed, d)
                     keys, held = [], []
-                    for times in layouts(len(s)) if len(s) else ():
+                    for times in layouts(len(s), percent) if len(s) else ():
                         reg = registers(s, times)
                         keys.append(band_keys(reg, times))
                         held.append({"times": times, "registers": reg.tobytes()})
@@ -154,11 +155,11 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, schema)
 
 
-def _estimated(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose estimated similarity may reach the threshold, with it."""
     left = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketches").alias("s_a"))
     right = held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketches").alias("s_b"))
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     both = pairs.join(left, "a").join(right, "b").where(near)
     layout = F.transform(F.filter("s_a", lambda x: F.exists("s_b", lambda y: y["times"] == x["times"])), lambda x: x["times"])
     both = both.select("a", "b", "n_a", "n_b", "s_a", "s_b", F.get(layout, F.lit(0)).alias("times")).where("times is not null")
@@ -179,20 +180,20 @@ def _estimated(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 chance[key] = chance_of_collision(2 ** (key[1] / 4), key[0])
             c = np.array([chance[k] for k in zip(times.tolist(), steps.tolist())])
             similarity = (same - c) / (1 - c)
-            t = PERCENT / 100
+            t = percent / 100
             passed = similarity >= t - _SIGMAS * np.sqrt(t * (1 - t) / used)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], ["a", "b", "similarity"]).filter(pa.array(passed))
 
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) confirmed on the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b")
+    return both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -210,12 +211,12 @@ def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return out.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).drop("l_a", "l_b")
 
 
-def _possible(other: str) -> Column:
+def _possible(other: str, percent: int) -> Column:
     """Whether two members may be linked at all, from their set sizes and the
     shingles that no other open member has (those are in no intersection)."""
     n, m = F.col("n"), F.col(f"{other}_n")
     common = F.least(n - F.col("alone"), m - F.col(f"{other}_alone"))
-    return common * (100 + PERCENT) >= (n + m) * PERCENT
+    return common * (100 + percent) >= (n + m) * percent
 
 
 def _with_alone(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,7 +228,7 @@ def _with_alone(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.drop("alone").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
 
 
-def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of linked nodes. ``members``: (key, node, n, score) of all band
     buckets with two nodes or more."""
     links, labels, tested, leaders = None, None, None, 1
@@ -244,21 +245,21 @@ def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFram
         order = Window.partitionBy("key").orderBy(F.col("score").desc(), "node")
         lead = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
         lead = staged(lead.select("key", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("alone").alias("leader_alone")), "leaders")
-        pairs = members.join(lead, (members["key"] == lead["key"]) & (F.col("node") != F.col("leader")) & _possible("leader"))
+        pairs = members.join(lead, (members["key"] == lead["key"]) & (F.col("node") != F.col("leader")) & _possible("leader", percent))
         pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = _across(pairs, labels)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = staged(_estimated(pairs, held), "estimated")
+        near = staged(_estimated(pairs, held, percent), "estimated")
         # first each node's best partner, then what still joins two components
         best = near.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("a"))
         for chosen in (best.select("a", "b"), near.select("a", "b")):
             chosen = staged(_across(chosen, labels), "chosen")
             if chosen.isEmpty():
                 continue
-            more = staged(_confirmed(chosen, sets), "links")
+            more = staged(_confirmed(chosen, sets, percent), "links")
             links = more if links is None else links.unionByName(more)
             labels = staged(components(links), "components")
         if labels is None:
@@ -267,15 +268,17 @@ def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame) -> DataFram
         leaders *= 4
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, percent: int = PERCENT) -> DataFrame:
     """``id_col``, n_shingles, component_id, kept, and row: one row per input row.
 
+    ``percent``: the least similarity of a link, in hundredths.
+
     Null text, empty text and text without words have no shingles and are
     linked with nothing. The component's smallest id names it; among rows that
     repeat that id (or have none) one is kept. Null ids never name a component
     that has another id.
     """
-    rows = staged(sketches(docs, id_col, text_col, row_col), "sketches")
+    rows = staged(sketches(docs, id_col, text_col, row_col, percent), "sketches")
     copies = staged(rows.where("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("node")).where("size > 1").select("print", "node"), "copies")
     placed = rows.select("row", "id", "n", "print").join(copies, "print", "left").withColumn("node", F.coalesce("node", "row"))
     placed = staged(placed, "placed")
@@ -296,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = shingle_sets(texts, "id").dropDuplicates(["id", "print"])
         pick = (sets["id"].eqNullSafe(wanted["id"])) & (sets["print"] == wanted["print"])
         sets = staged(sets.join(wanted.select("node", "id", "print"), pick).select("node", "set"), "sets")
-        labels = link_nodes(members, wanted.select("node", "n", "sketches"), sets)
+        labels = link_nodes(members, wanted.select("node", "n", "sketches"), sets, percent)
     placed = staged(_labelled(placed, labels), "labelled")
     first = placed.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     first = staged(first.where("size > 1").select("label", "first"), "firsts")
@@ -305,8 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"), "row")
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """All columns of one row of each component: that with the smallest id."""
     rows, number = numbered(docs, "documents")
-    dropped = near_duplicates(rows, id_col, text_col, number).where(~F.col("kept")).select(F.col("row").alias(number))
+    dropped = near_duplicates(rows, id_col, text_col, number, percent).where(~F.col("kept")).select(F.col("row").alias(number))
     return rows.join(dropped, number, "left_anti").select(*docs.columns)

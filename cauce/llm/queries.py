@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hyperminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), percent=hyperminhash.PERCENT)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -17,6 +17,8 @@ from cauce.llm import exact_dedup, hyperminhash, packing, quality_classifier, to
 from cauce.llm.common import read, staged
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Near copies share four fifths of their shingles or more.
+NEAR_PERCENT = 80
 #: SQL has no way to train the two classifiers: the pipeline is tested against brute force.
 ORACLE_SQL = None
 
@@ -40,7 +42,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates: that with the smallest id."""
-    return hyperminhash.kept_documents(docs)
+    return hyperminhash.kept_documents(docs, percent=NEAR_PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
