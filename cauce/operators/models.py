@@ -16,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cauce import fixed
@@ -131,10 +131,11 @@ def global_importance(phi: DataFrame) -> DataFrame:
 
 
 def top_positive_drivers(phi: DataFrame, key: str, k: int = 3) -> DataFrame:
-    """Top-k positive contributions per member (a member has one row per feature)."""
-    w = Window.partitionBy(key).orderBy(F.col("phi").desc(), F.col("feature"))
-    top = phi.filter(F.col("phi") > 0).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "value", "phi"))).alias("drivers"))
+    """Top-k positive contributions per member, none for a member without one (a member has one row per feature)."""
+    held = F.collect_list(F.struct((-F.col("phi")).alias("order"), "feature", "value", "phi"))
+    top = F.slice(F.array_sort(F.filter(held, lambda d: d["phi"] > 0)), 1, k)
+    ranked = F.transform(top, lambda d, i: F.struct((i + 1).alias("rank"), d["feature"].alias("feature"), d["value"].alias("value"), d["phi"].alias("phi")))
+    return phi.groupBy(key).agg(ranked.alias("drivers"))
 
 
 def select_model(auc_gbt: float, auc_woe: float, margin: float = 0.005) -> str:
