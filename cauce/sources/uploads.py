@@ -7,19 +7,29 @@ used for ids because it drops cells beyond the first row's width.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cauce import fixed
 from cauce.functions.ids import strip_ws
 
 
+#: Stands for a break that splits; no text file has it.
+_MARK = "\u0001\ue000\u0001"
+
+
+def _split_unquoted(text: Column, pattern: str) -> Column:
+    """Pieces of ``text`` between breaks (``pattern``) that an even number of quotes
+    follows, in one pass over the text however many quotes it has."""
+    from_end = F.transform(F.reverse(F.split(text, '"')), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, pattern, _MARK)).otherwise(x))
+    return F.split(F.array_join(F.reverse(from_end), '"'), _MARK)
+
+
 def id_lines(files: DataFrame) -> DataFrame:
     """Lines of whole files: adds ``line_no`` and ``value``. A quoted CSV cell may hold line breaks."""
     csv = F.endswith(F.lower("file_path"), F.lit(".csv"))
     text = F.regexp_replace("content", "^\uFEFF", "")
-    # a line break splits where an even number of quotes follows up to the end
-    lines = F.when(csv & F.contains(text, F.lit('"')), F.split(text, r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*\z)')).otherwise(F.split(text, r"\r?\n"))
+    lines = F.when(csv & F.contains(text, F.lit('"')), _split_unquoted(text, r"\r?\n")).otherwise(F.split(text, r"\r?\n"))
     return files.select(*[c for c in files.columns if c != "content"], F.posexplode(lines).alias("line_no", "value"))
 
 
@@ -51,7 +61,7 @@ def parse_id_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame
     line_no = F.col("line_no") if "line_no" in lines.columns else F.lit(0)
     txt = F.endswith(F.lower("file_path"), F.lit(".txt")) if "file_path" in lines.columns else F.lit(False)
     value = F.regexp_replace(F.col("value"), "^\uFEFF", "")
-    split = F.when(F.contains(value, F.lit('"')), F.split(value, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)')).otherwise(F.split(value, ","))
+    split = F.when(F.contains(value, F.lit('"')), _split_unquoted(value, ",")).otherwise(F.split(value, ","))
     cells = lines.select(*keep, line_no.alias("__line"), txt.alias("__txt"), F.posexplode(F.when(txt, F.array(value)).otherwise(split)).alias("__cell", "__raw"))
     bare = strip_ws(F.col("__raw"))
     quoted = F.regexp_like(bare, F.lit(r'(?s)\A".*"\z')) & ~F.col("__txt") & (F.length(bare) >= 2)

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cauce.operators.campaign import person_results
-from cauce import fixed
 from cauce.operators.intake import accepted_ids, intake_counts, triage_ids
 from cauce.operators.messages import compose_messages
 from cauce.session import shared_path
@@ -33,16 +32,27 @@ INTERACTION_SCHEMA = T.StructType([
 ])
 
 
-def id_file_stream(spark: SparkSession, in_dir: str) -> DataFrame:
+#: Largest upload that is read, as one row; its ids are the gate's business.
+WHOLE_FILE_BYTES = 1 << 26
+
+
+def id_file_stream(spark: SparkSession, in_dir: str, max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """X-01: whole dropped ``.csv``/``.txt`` files; the batch id is the hash of
     the content, so a file sent again is the same batch, whatever its name.
     ``maxFileAge`` keeps files that arrive with an old time (the source would
-    leave out those a week behind the newest)."""
-    return (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}")
-            .option("maxFilesPerTrigger", 100).option("maxFileAge", "36500d").load(in_dir)
-            .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
-            .filter((F.col("size") > 0) & (F.col("size") <= fixed.MAX_UPLOAD_BYTES))
-            .withColumn("batch_id", F.sha2(F.col("content").cast("binary"), 256)).drop("size"))
+    leave out those a week behind the newest). A file above ``max_bytes`` is not
+    read: its content is null, its id the hash of its path, size and time."""
+    def source(kind: str, schema: str) -> DataFrame:
+        return (spark.readStream.format(kind).schema(schema).option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}")
+                .option("maxFilesPerTrigger", 100).option("maxFileAge", "36500d").load(in_dir))
+
+    small = (source("text", "value string").select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
+             .filter((F.col("size") > 0) & (F.col("size") <= max_bytes))
+             .select("content", "file_path", F.sha2(F.col("content").cast("binary"), 256).alias("batch_id")))
+    large = (source("binaryFile", "path string, modificationTime timestamp, length long, content binary").filter(F.col("length") > max_bytes)
+             .select(F.lit(None).cast("string").alias("content"), F.col("path").alias("file_path"),
+                     F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")).cast("binary"), 256).alias("batch_id")))
+    return small.unionByName(large)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -60,7 +70,7 @@ def _stored(spark: SparkSession, path: str, batches: DataFrame) -> DataFrame | N
 
 
 def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, out_dir: str,
-                        checkpoint: str | None = None, available_now: bool = True):
+                        checkpoint: str | None = None, available_now: bool = True, max_bytes: int = WHOLE_FILE_BYTES):
     """X-02, X-03: per micro-batch triage -> size gate -> offers -> messages.
 
     Uploads are told apart by content hash: one that is stored already (in any
@@ -69,7 +79,8 @@ def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, ou
     ``bucket`` (64 by batch id), hold batches (with the gate's verdict and
     counts), results and outbox. The batch row is written last; a micro-batch
     that broke off before it is redone, and what it had written is left out by
-    key. A failing read fails the micro-batch.
+    key. A failing read fails the micro-batch. An upload above ``max_bytes`` has
+    a batch row that says too_large, without counts.
     """
     checkpoint = checkpoint or shared_path(spark, "stream-campaign")
     paths = {t: os.path.join(out_dir, t) for t in ("batches", "results", "outbox")}
@@ -96,14 +107,15 @@ def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, ou
             messages = compose_messages(results.filter(F.col("result_status") == "processed"))
             write(messages.select("bucket", "batch_id", "person_id", "product_id", "channel", "contact_window", "message_text", "message_source"),
                   "outbox", ["batch_id", "person_id"], batches)
-            gated = fresh.select("bucket", "batch_id").join(counts, "batch_id", "left").withColumn("gate", F.coalesce("gate", F.lit("too_small")))
+            unread = F.when(F.col("content").isNull(), "too_large").otherwise("too_small")
+            gated = fresh.select("bucket", "batch_id", "content").join(counts, "batch_id", "left").withColumn("gate", F.coalesce("gate", unread))
             write(gated.select("bucket", "batch_id", "gate", "raw_count", "count", "invalid_count", "duplicate_count"), "batches", ["batch_id"], batches)
             results.unpersist()
             triaged.unpersist()
         finally:
             files.unpersist()
 
-    q = (id_file_stream(spark, in_dir).writeStream.foreachBatch(handle)
+    q = (id_file_stream(spark, in_dir, max_bytes).writeStream.foreachBatch(handle)
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
     return q.start()
