@@ -102,3 +102,13 @@ def test_preferences_order_strengths():
     y = (np.arange(200) % 2).astype(int)
     s = x @ quality_classifier.fit(x, y).weights
     assert s[y == 1].min() > s[y == 0].max()
+
+
+def test_no_telling_word(spark, documents, monkeypatch):
+    """Two toxic and six clean texts without a common word: the score is the share of all labelled rows, and none is filtered."""
+    monkeypatch.setattr(toxicity, "MAX_TAGGED", 2)
+    docs = documents([(i, " ".join(words(i, 12, 10**6))) for i in range(8)])
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(8)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.constant == 0.25
+    assert toxicity.toxic_removed(docs, model).count() == 8
