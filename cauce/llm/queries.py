@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters, and
+"""Registered queries of the operators, with production parameters, and
 their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, chat_format, exact_dedup, hyperminhash, packing, quality_classifier, quality_rules, recurrent_lm, toxicity, warc
+from cauce.llm import (bpe, chat_format, divergence, exact_dedup, hard_negatives, hyperminhash, packing, quality_classifier, quality_rules, recurrent_lm,
+                       toxicity, url_filter, warc)
 from cauce.llm.common import crc_remainder, read, work_folder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -79,8 +80,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"), trusted)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(read(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+#: Host, path and verdict of the rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no rule fits, URLs that mirror a page with a smaller id are blocked."""
+    pages = read(spark, sf_dir, "pages")
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("host", "path", "verdict"), r))) for r in URL_RULES))))
+    return url_filter.judged(pages, rules, url_filter.mirror_urls(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_hyperminhash, op3_warc, op4_bpe, op5_packing, op6_recurrent_lm, op7_chat_format, op8_exact_dedup, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_hyperminhash, op3_warc, op4_bpe, op5_packing, op6_recurrent_lm, op7_chat_format, op8_exact_dedup, op9_quality_classifier, op10_quality_rules,
+                                    op11_source_divergence, op12_hard_negatives, op13_url_filter)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,5 +131,73 @@ FROM m GROUP BY conv_id
 """
 
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+u AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+tot AS (SELECT g.lang, g.source, coalesce(sum(n.n), 0) AS total FROM g LEFT JOIN n ON n.lang = g.lang AND n.source = g.source GROUP BY ALL),
+p AS (
+  SELECT t.lang, t.source, k.term, coalesce(n.n, 0) AS n,
+    1 + (1000000000 * (coalesce(n.n, 0) + 5)::HUGEINT) // (t.total + 5 * v.v)::HUGEINT AS p
+  FROM tot t JOIN v ON v.lang = t.lang JOIN kept k ON k.lang = t.lang LEFT JOIN n ON n.lang = t.lang AND n.source = t.source AND n.term = k.term),
+lq AS (
+  SELECT k.lang, k.term, 1 + (1000000000 * (sum(n.n) + 5)::HUGEINT) // (any_value(w.total) + 5 * any_value(v.v))::HUGEINT AS q
+  FROM kept k JOIN n ON n.lang = k.lang AND n.term = k.term JOIN v ON v.lang = k.lang JOIN (SELECT lang, sum(total) AS total FROM tot GROUP BY lang) w ON w.lang = k.lang
+  GROUP BY k.lang, k.term),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(dist.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - lq.q)::BIGINT AS value FROM p JOIN lq ON lq.lang = p.lang AND lq.term = p.term WHERE p.n > 0 AND p.p > lq.q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+_OP12 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM pos p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
+"""
+
+_OP13 = r"""
+WITH a AS (SELECT page_id, string_split(string_split(html, '</article>')[1], '<article>')[-1] AS article, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, article, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query
+  FROM a),
+c AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))) AS kept FROM u),
+k AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '\.?(:80|:443)?$', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url
+  FROM c),
+m AS (SELECT DISTINCT url FROM (SELECT url, page_id, min(page_id) OVER (PARTITION BY article) AS first FROM k WHERE article <> '') WHERE page_id > first AND url IS NOT NULL),
+r(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best AS (
+  SELECT row, max({'n': length(rh || rp), 'rule': rh || rp, 'verdict': rv}) AS b
+  FROM (SELECT page_id AS row, host, path FROM k) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY row)
+SELECT k.page_id, k.host, k.path, best.b.rule AS rule, coalesce(best.b.verdict, CASE WHEN m.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM k LEFT JOIN best ON best.row = k.page_id LEFT JOIN m ON m.url = k.url
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _OP7, "op8_exact_dedup": _OP8}
+    return {"op7_chat_format": _OP7, "op8_exact_dedup": _OP8, "op11_source_divergence": _OP11, "op12_hard_negatives": _OP12, "op13_url_filter": _OP13}
