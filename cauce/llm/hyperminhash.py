@@ -6,11 +6,11 @@ as its number of leading zeros and the mantissa bits after them. Short
 documents hash several times into fewer buckets, so that registers are hardly
 ever empty; documents near a change of this layout carry both. Bands of
 registers give candidate buckets. Inside one, candidates are compared with its
-most popular members only, then, as long as members of different components
-remain, with geometrically more of them, so that no bucket emits all its pairs
-and none loses a link. Pairs that cannot be linked are never formed: set sizes
-rule them out, and after the first round the shingles that a member shares with
-no other one. Candidates pass the collision-corrected Jaccard
+most popular members only; where members of different components remain, the
+last round forms the pairs of different components that are left, each in one
+bucket, so that no link is lost. Pairs that cannot be linked are never formed:
+set sizes rule them out, and after the first round the shingles that a member
+shares with no other one. Candidates pass the collision-corrected Jaccard
 estimate, and links are confirmed on the full shingle sets.
 """
 
@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cauce.llm.common import Words, mix64, numbered, row_number_of, slices, staged
+from cauce.llm.blocked_bloom import KEYS_PER_BLOCK, MAX_BLOCKS, bloom, maybe_listed
+from cauce.llm.common import Tables, Words, mix64, numbered, row_number_of, slices, staged
 from cauce.llm.components import components
 
 SHINGLE = 5
@@ -117,7 +118,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 
     def run(batches):
         for batch in batches:
-            for kept, texts in slices(batch, ["id", "row"], "text"):
+            for kept, texts in slices(batch, ["id", "row"], "text", 1 << 20):
                 words = Words(texts)
                 hashed = words.hashes()
                 out = [kept["row"], kept["id"], [], [], [], []]
@@ -143,7 +144,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for kept, texts in slices(batch, ["id"], "text"):
+            for kept, texts in slices(batch, ["id"], "text", 1 << 20):
                 words = Words(texts)
                 hashed = words.hashes()
                 sets = [shingles(words, hashed, d) for d in range(len(texts))]
@@ -228,44 +229,96 @@ def _with_alone(members: DataFrame, sets: DataFrame) -> DataFrame:
     return members.drop("alone").join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
 
 
-def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their labels, of the buckets that hold different components."""
+    marked = _labelled(members.drop("label"), labels)
+    ends = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return marked.join(ends, "key", "left_semi")
+
+
+def _as_other(members: DataFrame) -> DataFrame:
+    return members.select("key", *(F.col(c).alias(f"other_{c}") for c in members.columns if c != "key"))
+
+
+def _star_pairs(members: DataFrame, leaders: int, percent: int) -> DataFrame:
+    """Pairs of each bucket's ``leaders`` most popular members with all others."""
+    order = Window.partitionBy("key").orderBy(F.col("score").desc(), "node")
+    lead = _as_other(members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders).drop("place", "score"))
+    met = members.join(lead, "key").where((F.col("node") != F.col("other_node")) & (F.col("label") != F.col("other_label")) & _possible("other", percent))
+    return met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
+def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of open buckets that can be linked and would join two
+    components, each in the smallest of its buckets only."""
+    mine = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    members = members.drop("score").join(mine, "node")
+    once = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+    met = members.join(_as_other(members), "key").where((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & _possible("other", percent) & once)
+    return met.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+
+
+#: Leaders of a bucket in the rounds before the last, which takes what is left.
+_LEADERS = (1, 8)
+
+
+def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
     """(node, label) of linked nodes. ``members``: (key, node, n, score) of all band
     buckets with two nodes or more."""
-    links, labels, tested, leaders = None, None, None, 1
-    members = members.withColumn("alone", F.lit(0).cast("long"))
-    while True:
+    links, labels, tested = None, None, None
+    members = members.withColumn("alone", F.lit(0).cast("long")).withColumn("label", F.col("node"))
+    for leaders in (*_LEADERS, None):
         if labels is not None:
-            # a bucket is done once its members that have not led share a label
-            marked = _labelled(members, labels)
-            open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-            members = marked.drop("label").join(open_keys, "key", "left_semi")
-            members = staged(_with_alone(members, sets) if leaders == 4 else members, "members")
+            members = _open_members(members, labels)
+            members = tables.staged(_with_alone(members, sets) if leaders == _LEADERS[1] else members, "members")
             if members.isEmpty():
-                return labels
-        order = Window.partitionBy("key").orderBy(F.col("score").desc(), "node")
-        lead = members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= leaders)
-        lead = staged(lead.select("key", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("alone").alias("leader_alone")), "leaders")
-        pairs = members.join(lead, (members["key"] == lead["key"]) & (F.col("node") != F.col("leader")) & _possible("leader", percent))
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs = _across(pairs, labels)
+                break
+        pairs = _star_pairs(members, leaders, percent) if leaders else _rest_pairs(members, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
+        pairs = tables.staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = staged(_estimated(pairs, held, percent), "estimated")
+        near = tables.staged(_estimated(pairs, held, percent), "estimated")
         # first each node's best partner, then what still joins two components
         best = near.groupBy("b").agg(F.max_by("a", F.struct("similarity", "a")).alias("a"))
-        for chosen in (best.select("a", "b"), near.select("a", "b")):
-            chosen = staged(_across(chosen, labels), "chosen")
+        for chosen in (best.select("a", "b"), near.select("a", "b")) if leaders else (near.select("a", "b"),):
+            chosen = tables.staged(_across(chosen, labels), "chosen")
             if chosen.isEmpty():
                 continue
-            more = staged(_confirmed(chosen, sets, percent), "links")
+            more = tables.staged(_confirmed(chosen, sets, percent), "links")
             links = more if links is None else links.unionByName(more)
-            labels = staged(components(links), "components")
+            labels = tables.staged(components(links), "components")
         if labels is None:
-            labels = staged(components(pairs.select("a", "b").limit(0)), "components")
-        members = members.join(lead, (members["key"] == lead["key"]) & (members["node"] == lead["leader"]), "left_anti")
-        leaders *= 4
+            labels = tables.staged(components(pairs.select("a", "b").limit(0)), "components")
+    return labels
+
+
+def _buckets(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """(key, node, size) of the buckets with two nodes or more. Of buckets with
+    the same nodes, as copies with few changes have in most bands, one stays."""
+    keyed = rows.select(F.col("row").alias("node"), "keys").join(others.withColumnRenamed("row", "node"), "node", "left_anti").select("node", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    one = held.where("size > 1").groupBy("size", "least", "x", "y").agg(F.min("key").alias("key"))
+    return keyed.join(one.select("key", "size"), "key")
+
+
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set) of the wanted nodes. A Bloom filter of their ids spares the other texts the way."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    blocks, n = 1, wanted.count()
+    while blocks < min(MAX_BLOCKS, -(-n // KEYS_PER_BLOCK)):
+        blocks *= 2
+    hashed = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(hashed.alias("h")), blocks))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select(["id", "text"]).filter(pa.array(maybe_listed(filter_.value, batch.column("h").to_numpy())))
+
+    texts = source.withColumn("h", hashed).mapInArrow(run, source.schema)
+    sets = shingle_sets(texts, "id").dropDuplicates(["id", "print"])
+    pick = (sets["id"].eqNullSafe(wanted["id"])) & (sets["print"] == wanted["print"])
+    return sets.join(wanted.select("node", "id", "print"), pick).select("node", "set")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, percent: int = PERCENT) -> DataFrame:
@@ -276,40 +329,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text, empty text and text without words have no shingles and are
     linked with nothing. The component's smallest id names it; among rows that
     repeat that id (or have none) one is kept. Null ids never name a component
-    that has another id.
+    that has another id. An empty table gives no rows.
     """
-    rows = staged(sketches(docs, id_col, text_col, row_col, percent), "sketches")
-    copies = staged(rows.where("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("node")).where("size > 1").select("print", "node"), "copies")
+    tables = Tables(docs.sparkSession)
+    rows = tables.staged(sketches(docs, id_col, text_col, row_col, percent), "sketches")
+    copies = rows.where("n > 0").groupBy("print").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("node")).where("size > 1").select("print", "node")
     placed = rows.select("row", "id", "n", "print").join(copies, "print", "left").withColumn("node", F.coalesce("node", "row"))
-    placed = staged(placed, "placed")
-    others = staged(placed.where("node <> row").select("row"), "others")
-    keyed = rows.select(F.col("row").alias("node"), "keys").join(others.withColumnRenamed("row", "node"), "node", "left_anti")
-    keyed = staged(keyed.select("node", F.explode("keys").alias("key")), "keys")
-    buckets = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = staged(keyed.join(buckets, "key"), "members")
+    placed = tables.staged(placed, "placed")
+    members = tables.staged(_buckets(rows, placed.where("node <> row").select("row")), "members")
     labels = None
     if not members.isEmpty():
-        popular = staged(members.groupBy("node").agg(F.sum("size").alias("score")), "scores")
-        sizes = placed.select(F.col("row").alias("node"), "n")
-        members = staged(members.join(popular.join(sizes, "node"), "node").select("key", "node", "n", "score"), "members")
-        wanted = staged(rows.join(popular, rows["row"] == popular["node"]).select("node", "id", "n", "print", "sketches"), "wanted")
-        ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
-        source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        texts = source.join(ids, source["id"].eqNullSafe(ids["wanted_id"]), "left_semi")
-        sets = shingle_sets(texts, "id").dropDuplicates(["id", "print"])
-        pick = (sets["id"].eqNullSafe(wanted["id"])) & (sets["print"] == wanted["print"])
-        sets = staged(sets.join(wanted.select("node", "id", "print"), pick).select("node", "set"), "sets")
-        labels = link_nodes(members, wanted.select("node", "n", "sketches"), sets, percent)
-    placed = staged(_labelled(placed, labels), "labelled")
-    first = placed.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    first = staged(first.where("size > 1").select("label", "first"), "firsts")
-    out = placed.join(first, "label", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
-                      F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"), "row")
+        popular = tables.staged(members.groupBy("node").agg(F.sum("size").alias("score")), "scores")
+        wanted = tables.staged(rows.join(popular, rows["row"] == popular["node"]).select("node", "id", "n", "print", "score", "sketches"), "wanted")
+        members = tables.staged(members.join(wanted.select("node", "n", "score"), "node").select("key", "node", "n", "score"), "members")
+        sets = tables.staged(_wanted_sets(docs, wanted, id_col, text_col), "sets")
+        labels = link_nodes(members, wanted.select("node", "n", "sketches"), sets, percent, tables)
+    first = _labelled(placed, labels).groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    first = first.where("size > 1").select("label", "first")
+    out = _labelled(placed, labels).join(first, "label", "left")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+                     F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"), "row")
+    out = staged(out, "near-duplicates")
+    tables.discard()
+    return out
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """All columns of one row of each component: that with the smallest id."""
+    """All columns of one row of each component: that with the smallest id.
+
+    Null and empty texts stay; of rows that repeat an id inside a component one
+    stays. An empty table gives no rows.
+    """
     rows, number = numbered(docs, "documents")
     dropped = near_duplicates(rows, id_col, text_col, number, percent).where(~F.col("kept")).select(F.col("row").alias(number))
     return rows.join(dropped, number, "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cauce.llm import divergence, hard_negatives, queries, url_filter
+from cauce.llm import blocked_bloom, divergence, hard_negatives, queries, url_filter
 from tests.llm.conftest import AWKWARD, words
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -137,12 +137,12 @@ def test_hard_negatives(spark):
 def test_bloom_has_no_false_negative_and_few_false_positives(spark):
     rows = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     blocks = 2048
-    held = url_filter.bloom(rows, blocks)
+    held = blocked_bloom.bloom(rows, blocks)
     inside = np.array([r["h"] for r in rows.collect()])
     outside = np.array([r["h"] for r in spark.range(1 << 40, (1 << 40) + 20_000).select(F.xxhash64("id").alias("h")).collect()])
-    assert url_filter.maybe_listed(held, inside).all()
-    assert url_filter.maybe_listed(held, outside).mean() < 0.01
-    assert url_filter.bloom(rows.limit(0), 1).tolist() == [[0] * url_filter.WORDS]
+    assert blocked_bloom.maybe_listed(held, inside).all()
+    assert blocked_bloom.maybe_listed(held, outside).mean() < 0.01
+    assert blocked_bloom.bloom(rows.limit(0), 1).tolist() == [[0] * blocked_bloom.WORDS]
 
 
 def judge(url, rules, blocked):
