@@ -103,7 +103,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _POWERS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers_of_base(n: int) -> np.ndarray:
+    """At least the first ``n`` weights of the hashes' polynomial."""
     global _POWERS
     if len(_POWERS) < n:
         m = max(n, 4096)
@@ -142,7 +143,7 @@ class Words:
             return np.zeros(0, np.uint64)
         length = end - start
         width = int(length.max())
-        powers = _powers(width + 1)
+        powers = powers_of_base(width + 1)
         out = np.zeros(len(start), np.uint64)
         if width <= 64:
             alive = np.arange(len(start))

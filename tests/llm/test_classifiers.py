@@ -1,6 +1,8 @@
+import collections
 import itertools
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -112,3 +114,68 @@ def test_no_telling_word(spark, documents, monkeypatch):
     model = toxicity.train(docs, labels, F.lit(True))
     assert model.constant == 0.25
     assert toxicity.toxic_removed(docs, model).count() == 8
+
+
+def plain_features(text):
+    """The features in plain Python, shape buckets left out (they are hashes)."""
+    split = lambda s: [w for w in s.translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ") if w]
+    w = split(text)
+    out = [0.0] * (quality_classifier.N_FEATURES - quality_classifier.SHAPES)
+    if not w:
+        return [1.0, *out[1:]], {}
+    letters = [c for c in text if c.isalpha()]
+    capitals = sum(unicodedata.category(c) == "Lu" for c in letters) / max(1, len(letters))
+    chars, n, lines = sum(map(len, w)), len(w), [x for x in text.split("\n") if split(x)]
+    again = sum(a == b for a, b in zip(w, w[1:])) / n
+    out[1:12] = [math.log1p(n) / 10, capitals, math.sqrt(capitals), again, math.sqrt(again), max(map(w.count, set(w))) / n if n > 20 else 0, len(set(w)) / n,
+                 chars / n / 20, 1 - len(set(lines)) / len(lines), min(5, math.log1p(n / len(lines))) / 5, len(letters) / chars]
+    for k, c in enumerate(quality_classifier._SYMBOLS):
+        out[12 + k] = math.sqrt(text.count(c) / n)
+    of = lambda c: "A" if unicodedata.category(c) == "Lu" else "a" if c.isalpha() else "0" if c.isdecimal() else c
+    return out, collections.Counter("".join(k for k, _ in itertools.groupby(map(of, x))) for x in w)
+
+
+def test_quality_features_equal_plain_python():
+    rng = random.Random(8)
+    alphabet = "aAbéÉñ1٣.,!#\\  \n\t\x0b\x1c\x85 Ⅷªǅ漢🙂"
+    texts = ["", " \n ", "x", *(t or "" for _, t in AWKWARD if len(t or "") < 2000), *("".join(rng.choice(alphabet) for _ in range(rng.randrange(120))) for _ in range(200))]
+    got = quality_classifier.features([t.encode() for t in texts])
+    bucket = {}
+    for text, x in zip(texts, got):
+        want, shapes = plain_features(text)
+        assert x[:len(want)] == pytest.approx(want, abs=1e-6), text
+        n = sum(shapes.values())
+        assert float((x[-quality_classifier.SHAPES:] ** 2).sum()) == pytest.approx(1.0 if n else 0.0, abs=1e-5)
+        if len(shapes) == 1:  # one shape, one bucket, the same in every text
+            assert bucket.setdefault(next(iter(shapes)), int(x[-quality_classifier.SHAPES:].argmax())) == int(x[-quality_classifier.SHAPES:].argmax())
+    whole, parts = quality_classifier.features([t.encode() for t in texts]), [quality_classifier.features([t.encode()])[0] for t in texts]
+    assert np.array_equal(whole, np.array(parts))
+    assert quality_classifier.features([]).shape == (0, quality_classifier.N_FEATURES)
+
+
+def test_pairwise_fit_lowers_the_logistic_loss_of_all_pairs():
+    rng = np.random.default_rng(4)
+    x = np.zeros((40, quality_classifier.N_FEATURES), np.float32)
+    x[:, :5] = rng.normal(size=(40, 5))
+    y = (x[:, 0] + 0.5 * rng.normal(size=40) > 0).astype(int)
+    w = quality_classifier.fit(x, y, l2=0.0).weights
+    loss = lambda v: np.mean([math.log1p(math.exp(-float((x[g] - x[b]) @ v))) for g in np.flatnonzero(y == 1) for b in np.flatnonzero(y == 0)])
+    least = loss(w)
+    assert least < 0.6 * loss(np.zeros_like(w))
+    for k in range(5):  # no step along a feature does better
+        for step in (-0.3, 0.3):
+            other = w.copy()
+            other[k] += step
+            assert least <= loss(other) + 1e-3
+
+
+def test_quality_of_awkward_rows(spark, awkward, documents):
+    labels = spark.createDataFrame([(1, 0), (2, 0), (4, 1), (5, 1), (8, 1), (9, 0), (10, 1), (10, 0)], "doc_id long, quality int")
+    model = quality_classifier.train(awkward, labels, F.lit(True))
+    rows = quality_classifier.classify(awkward, model).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
+    ones = [r["score"] for r, (_, t) in zip(rows, AWKWARD) if t == "one"]
+    assert len(set(ones)) == 1
+    kept = quality_classifier.rejected_removed(awkward, model)
+    assert kept.columns == awkward.columns and kept.count() == sum(r["predicted"] for r in rows)
+    assert quality_classifier.rejected_removed(documents([]), model).count() == 0
