@@ -58,6 +58,19 @@ class Tables:
         self.paths = []
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+ARROW_BYTES = 2 << 20
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session cut Arrow batches by bytes and not only by rows, so that
+    long texts do not fill an executor. A smaller bound that is set stays."""
+    now = spark.conf.get(_ARROW_KEY).rstrip("bB")
+    if not now.isdigit() or int(now) <= 0 or int(now) > ARROW_BYTES:
+        spark.conf.set(_ARROW_KEY, str(ARROW_BYTES))
+
+
 def row_number_of(row_col: str | None) -> Column:
     """A unique number per row: a column that has one, or one made here."""
     return F.col(row_col) if row_col else F.monotonically_increasing_id()
