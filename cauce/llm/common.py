@@ -59,7 +59,7 @@ class Tables:
 
 
 #: Bytes of an Arrow batch on its way to a Python worker.
-ARROW_BYTES = 2 << 20
+ARROW_BYTES = 1 << 18
 _ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
