@@ -175,3 +175,22 @@ def stratified_split(df: DataFrame, key: str, stratum: str, fractions=fixed.SPLI
 def sample_rows(df: DataFrame, key: str, n: int = fixed.SAMPLE_SIZE, seed: int = fixed.SPLIT_SEED) -> DataFrame:
     """Reproducible sample of n rows: smallest hash keys (top-k per partition, then merged)."""
     return df.orderBy(shuffle_key(F.col(key), seed), key).limit(n)
+
+
+def model_input(df: DataFrame, key: str = "member_id", required: list[str] = fixed.NUMERICAL_FEATURES + fixed.CATEGORICAL_FEATURES) -> DataFrame:
+    """Key and the contract's features in their fixed order; anything else (targets,
+    gender, personal data) is left out. Missing features are refused by name."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing features: {', '.join(missing)}")
+    return df.select(key, *required)
+
+
+def rejected_input(df: DataFrame, vocab: dict[str, list[str]], key: str = "member_id", numeric: list[str] = fixed.NUMERICAL_FEATURES) -> DataFrame:
+    """(key, missing, unknown): members whose input cannot be scored as it is, with
+    their null or NaN numbers (these reject) and their categories outside the
+    vocabulary (null too; these are warnings), both in contract order."""
+    names = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(c)) for c, t in tests]))
+    missing = names([(c, F.col(c).isNull() | F.isnan(F.col(c))) for c in numeric])
+    unknown = names([(c, ~F.coalesce(F.col(c).isin(*vs), F.lit(False))) for c, vs in vocab.items()])
+    return df.select(key, missing.alias("missing"), unknown.alias("unknown")).where((F.size("missing") > 0) | (F.size("unknown") > 0))

@@ -232,7 +232,7 @@ def backtest_hit_at_1(spark, sf_dir):
     return first.join(acc, "member_id").agg(F.count_if(offered).alias("n_members"), hit("first").alias("hit_at_1_engine"), hit("popular").alias("hit_at_1_popularity"))
 
 
-cte("lift_parts", "SELECT *, (interaction_id * 2654435761) % 10 >= 8 AS test FROM interactions", ["interactions"])
+cte("lift_parts", "SELECT *, interaction_id % 10 >= 8 AS test FROM interactions", ["interactions"])
 
 
 cte("lift_fit", "SELECT * FROM lift_parts WHERE NOT test", ["lift_parts"])
@@ -263,7 +263,7 @@ def backtest_channel_lift(spark, sf_dir):
     """Rates learned on four fifths of the interactions, lift measured on the rest."""
     members = derived.member_features(spark, sf_dir)
     inter = derived.interactions(spark, sf_dir)
-    test = (F.col("interaction_id") * 2654435761) % 10 >= 8
+    test = F.col("interaction_id") % 10 >= 8
     fit, held = inter.filter(~test), inter.filter(test)
     rec = nbo.member_channels(members, nbo.channel_rates(fit, members), nbo.global_rate(fit)).select("member_id", F.col("channel").alias("rec"))
     major = (fit.groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
@@ -314,8 +314,7 @@ def offer_funnel(spark, sf_dir):
 
 
 PRODUCTS = [p[0] for p in fixed.PRODUCT_CATALOG]
-cte("monthly", f"""SELECT {pick('o_orderkey', 8, PRODUCTS)} AS product_id, month(o_orderdate) AS month, count(*) AS n FROM orders
-WHERE NOT (o_orderkey % 8 = 2 AND month(o_orderdate) = (SELECT month(max(o_orderdate)) FROM orders)) GROUP BY 1, 2""")
+cte("monthly", f"""SELECT {pick('o_orderkey', 8, PRODUCTS)} AS product_id, month(o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1, 2""")
 cte("season", """
 SELECT product_id, first(month ORDER BY n DESC, month) AS top_month, max(n) AS top_n,
        coalesce(sum(n) FILTER (WHERE month = (SELECT month(max(o_orderdate)) FROM orders)), 0) AS current_n
@@ -323,11 +322,10 @@ FROM monthly GROUP BY product_id""", ["monthly"])
 
 
 def _seasonal(spark, sf_dir):
-    """Orders by product and month; one product has none in the current month."""
+    """All orders by product and month."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     current = o.agg(F.month(F.max("o_orderdate"))).scalar()
-    sold = o.withColumns({"month": F.month("o_orderdate"), "__now": current}).filter(~((F.col("o_orderkey") % 8 == 2) & (F.col("month") == F.col("__now"))))
-    monthly = sold.select(derived._pick(F.col("o_orderkey"), 8, PRODUCTS).alias("product_id"), "month").groupBy("product_id", "month").agg(F.count(F.lit(1)).alias("n"))
+    monthly = o.select(derived._pick(F.col("o_orderkey"), 8, PRODUCTS).alias("product_id"), F.month("o_orderdate").alias("month")).groupBy("product_id", "month").agg(F.count(F.lit(1)).alias("n"))
     return nbo.seasonal_products(monthly, current)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cauce.operators import metrics, models, quality
+from cauce.operators import calibration, metrics, models, quality, tree_attribution
 from cauce.plans.oracle import cte, sql
 from cauce.plans.registry import register
 from cauce.sources import derived
@@ -100,3 +100,54 @@ def attribution_importance(spark, sf_dir):
     woe, lr = _scorecard(spark, sf_dir)
     phi = models.scorecard_attributions(woe.fillna(0.0, subset=MODEL_FEATURES), lr, MODEL_FEATURES, "member_id")
     return models.global_importance(phi)
+
+
+cte("product_scores", """
+SELECT m.member_id, c.product_id, CAST((m.k * (2 * c.idx + 3) + 17 * c.idx) % 50 AS DOUBLE) / 100 AS raw, a.y
+FROM gap_members m CROSS JOIN catalog c
+LEFT JOIN (SELECT member_id, product_id, max(CAST(outcome = 'accepted' AS INTEGER)) AS y FROM interactions GROUP BY member_id, product_id) a
+  ON a.member_id = m.member_id AND a.product_id = c.product_id""", ["gap_members", "catalog", "interactions"])
+cte("score_points", "SELECT product_id, raw, CAST(count(*) AS DOUBLE) AS w, CAST(sum(y) AS DOUBLE) AS pos FROM product_scores WHERE y IS NOT NULL GROUP BY product_id, raw", ["product_scores"])
+cte("score_runs", """
+SELECT a.product_id, a.raw AS low, b.raw AS high, sum(c.pos) / sum(c.w) AS mean
+FROM score_points a JOIN score_points b ON a.product_id = b.product_id AND a.raw <= b.raw JOIN score_points c ON c.product_id = a.product_id AND c.raw BETWEEN a.raw AND b.raw
+GROUP BY a.product_id, a.raw, b.raw""", ["score_points"])
+# the isotonic fit at a point: the largest, over runs that begin there or before, of the least mean among runs that end there or after
+cte("score_fit", """
+SELECT product_id, raw, max(least_mean) AS fit FROM (
+  SELECT p.product_id, p.raw, r.low, min(r.mean) AS least_mean FROM score_points p JOIN score_runs r ON r.product_id = p.product_id AND r.low <= p.raw AND r.high >= p.raw
+  GROUP BY p.product_id, p.raw, r.low) x GROUP BY product_id, raw""", ["score_points", "score_runs"])
+
+
+@register("calibrated_scores", "J-07, M-05, M-06, M-08", sql(f"""
+SELECT s.member_id, s.product_id, s.raw, round(CASE WHEN f.lo IS NULL AND f.hi IS NULL THEN s.raw WHEN f.lo IS NULL THEN f.hi_fit WHEN f.hi IS NULL OR f.lo = s.raw THEN f.lo_fit
+       ELSE f.lo_fit + (f.hi_fit - f.lo_fit) * (s.raw - f.lo) / (f.hi - f.lo) END, {DIGITS}) + 0.0 AS calibrated
+FROM product_scores s LEFT JOIN (
+  SELECT d.product_id, d.raw, max(b.raw) FILTER (WHERE b.raw <= d.raw) AS lo, max_by(b.fit, b.raw) FILTER (WHERE b.raw <= d.raw) AS lo_fit,
+         min(b.raw) FILTER (WHERE b.raw > d.raw) AS hi, min_by(b.fit, b.raw) FILTER (WHERE b.raw > d.raw) AS hi_fit
+  FROM (SELECT DISTINCT product_id, raw FROM product_scores) d LEFT JOIN score_fit b ON b.product_id = d.product_id GROUP BY d.product_id, d.raw) f
+  ON f.product_id = s.product_id AND f.raw = s.raw""", "product_scores", "score_fit"))
+def calibrated_scores(spark, sf_dir):
+    """Every member's score for every product through that product's isotonic calibrator."""
+    scores = derived.product_scores(spark, sf_dir)
+    held = calibration.fit_calibrators(scores.where("y is not null"))
+    out = calibration.apply_calibrators(scores.drop("y"), held)
+    return out.withColumn("calibrated", F.round("calibrated", DIGITS))
+
+
+def _tree_phi(spark, sf_dir):
+    frame = _model_frame(spark, sf_dir)
+    gbt = models.train_gbt(frame.filter(F.col("split") == "train"), "default_12m", MODEL_FEATURES, max_iter=20)
+    return tree_attribution.attributions(frame, gbt, MODEL_FEATURES, "member_id")
+
+
+@register("tree_drivers", "M-11, W-03")
+def tree_drivers(spark, sf_dir):
+    """Top-3 positive exact attributions of the boosted trees per member, with the features' values (rows-only check)."""
+    return models.top_positive_drivers(_tree_phi(spark, sf_dir), "member_id")
+
+
+@register("tree_importance", "A-19, W-11")
+def tree_importance(spark, sf_dir):
+    """Mean |phi| per feature of the boosted trees, descending (rows-only check)."""
+    return models.global_importance(_tree_phi(spark, sf_dir))

@@ -27,31 +27,60 @@ def quality_violations(spark, sf_dir):
     return quality.rule_violations(derived.persons(spark, sf_dir))
 
 
-NUMERIC_CHECK = ["age", "income", "job_tenure_months", "internal_score", "debt_ratio", "current_delinquency",
-                 "has_mortgage", "digital_affinity", "months_since_event", "dependents"]
+cte("contract", f"""
+SELECT m.member_id, age, income, CASE WHEN k % 53 <> 0 THEN CAST(k * 19 % 40 AS DOUBLE) END AS tenure_months, job_tenure_months, dependents, internal_score, debt_ratio,
+       CAST(k * 23 % 13 AS DOUBLE) AS subsidy_usage_12m, CASE WHEN k % 47 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST(k * 37 % 53 AS DOUBLE) END AS supermarket_usage_12m,
+       CAST(k * 41 % 17 AS DOUBLE) AS recreation_usage_12m, CAST(k * 43 % 7 AS DOUBLE) AS education_usage_12m,
+       CASE WHEN k % 91 <> 0 THEN CAST(k * 13 % 101 AS DOUBLE) / 100 END AS services_usage_index, CAST(k * 5 % 48 AS DOUBLE) AS months_since_last_credit,
+       CAST(current_delinquency AS DOUBLE) AS current_delinquency, CAST(k % 3 AS DOUBLE) AS active_credit, has_mortgage, digital_affinity, months_since_event,
+       CAST(c_mktsegment = 'MACHINERY' AS DOUBLE) AS education_interest, CAST(c_mktsegment = 'BUILDING' AS DOUBLE) AS housing_interest, CAST(c_mktsegment = 'AUTOMOBILE' AS DOUBLE) AS consolidation_interest,
+       CAST(k % 5 = 0 AS DOUBLE) AS tax_interest, CAST(k % 6 = 1 AS DOUBLE) AS tourism_interest, CAST(k % 7 = 2 AS DOUBLE) AS tech_interest, CAST(k % 8 = 3 AS DOUBLE) AS health_interest,
+       category, contract_type, CASE k % 4 WHEN 0 THEN 'micro' WHEN 1 THEN 'pequena' WHEN 2 THEN 'mediana' END AS company_size,
+       ['Bogota', 'Medellin', 'Cali', 'Tunja', 'Leticia'][CAST(k % 5 + 1 AS INTEGER)] AS city,
+       CASE k % 6 WHEN 0 THEN 'matrimonio' WHEN 1 THEN 'nacimiento' WHEN 3 THEN 'mudanza' WHEN 4 THEN 'grado' WHEN 5 THEN 'jubilacion' END AS life_event,
+       ['servicios', 'comercio', 'industria'][CAST(k % 3 + 1 AS INTEGER)] AS job_sector
+FROM (SELECT *, CAST(member_id AS BIGINT) - 100000000 AS k FROM members) m JOIN customer ON c_custkey = m.k""", ["members"])
+
+
+@register("model_input", "V-10, V-11, T-01", sql("SELECT * FROM contract", "contract"))
+def model_input(spark, sf_dir):
+    """The contract's 31 features of every member, whatever else the frame holds."""
+    return quality.model_input(derived.contract_features(spark, sf_dir).withColumn("gender", F.lit("Female")))
 
 
 @register("missing_features", "V-12", sql("\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS BIGINT) AS n_bad FROM members"
-    for c in NUMERIC_CHECK), "members"))
+    f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS BIGINT) AS n_bad FROM contract"
+    for c in fixed.NUMERICAL_FEATURES), "contract"))
 def missing_features(spark, sf_dir):
-    return quality.missing_numeric(derived.member_features(spark, sf_dir), NUMERIC_CHECK)
+    return quality.missing_numeric(derived.contract_features(spark, sf_dir), fixed.NUMERICAL_FEATURES)
 
 
-OOV_VOCAB = {"category": ["A", "B", "C", "D"], "contract_type": ["indefinido", "fijo"]}
+OOV_VOCAB = {"category": ["A", "B", "C", "D"], "contract_type": ["indefinido", "fijo"], "company_size": ["micro", "pequena", "mediana"],
+             "city": ["Bogota", "Medellin", "Cali", "Tunja"], "life_event": ["matrimonio", "nacimiento", "mudanza", "grado", "jubilacion"], "job_sector": ["servicios", "comercio", "industria"]}
+_KNOWN = {c: f"coalesce({c} IN ({', '.join(repr(v) for v in vs)}), false)" for c, vs in OOV_VOCAB.items()}
 
 
 @register("oov_rates", "V-13", sql("\nUNION ALL ".join(
     f"""SELECT '{c}' AS "column", n, n_oov, round(n_oov / CAST(n AS DOUBLE), {DIGITS}) AS oov_rate,
        CASE WHEN n_oov / CAST(n AS DOUBLE) > 0.2 THEN 'reject' WHEN n_oov > 0 THEN 'warn' ELSE 'ok' END AS verdict
 FROM (SELECT CAST(count(*) AS BIGINT) AS n,
-             CAST(count(*) FILTER (WHERE NOT coalesce({c} IN ({', '.join(repr(v) for v in vs)}), false)) AS BIGINT) AS n_oov FROM members) x"""
-    for c, vs in OOV_VOCAB.items()), "members"))
+             CAST(count(*) FILTER (WHERE NOT {known}) AS BIGINT) AS n_oov FROM contract) x"""
+    for c, known in _KNOWN.items()), "contract"))
 def oov_rates(spark, sf_dir):
-    out = quality.oov_rates(derived.member_features(spark, sf_dir), OOV_VOCAB)
+    out = quality.oov_rates(derived.contract_features(spark, sf_dir), OOV_VOCAB)
     return out.withColumn("oov_rate", F.round("oov_rate", DIGITS))
 
 
+@register("rejected_input", "V-12, V-13", sql(f"""
+SELECT * FROM (
+  SELECT member_id, list_filter([{', '.join(f"CASE WHEN {c} IS NULL OR isnan({c}) THEN '{c}' END" for c in fixed.NUMERICAL_FEATURES)}], lambda x: x IS NOT NULL) AS missing,
+         list_filter([{', '.join(f"CASE WHEN NOT {known} THEN '{c}' END" for c, known in _KNOWN.items())}], lambda x: x IS NOT NULL) AS unknown
+  FROM contract) x WHERE len(missing) > 0 OR len(unknown) > 0""", "contract"))
+def rejected_input(spark, sf_dir):
+    """Members whose input is rejected (missing numbers) or warned about, with the features."""
+    return quality.rejected_input(derived.contract_features(spark, sf_dir), OOV_VOCAB)
+
+
 @register("label_vocabularies", "A-05, E-04, U-05", sql("\nUNION ALL ".join(
     f"""SELECT '{c}' AS "column", list_sort(list(DISTINCT l)) AS vocabulary
 FROM (SELECT unnest({c}) AS l FROM persons) x WHERE l IS NOT NULL""" for c in fixed.MULTILABEL_COLS), "persons"))

@@ -167,13 +167,16 @@ ORACLE_PHRASES = """
 """
 
 NORM = """trim(regexp_replace(translate(lower(coalesce({}, '')), 'áéíóúÁÉÍÓÚñÑüÜ', 'aeiouAEIOUnNuU'), '[^a-z0-9]+', ' ', 'g'))"""
-INJECT_EVERY = 3
+#: Every third user turn is followed, that many turns later, by a turn that says a trigger phrase.
+INJECT_EVERY, PHRASE_TURN = 3, 100_000
 
 cte("phrases", f"SELECT i, topic, phrase, {NORM.format('phrase')} AS norm FROM (VALUES {ORACLE_PHRASES}) AS ph(i, topic, phrase)")
 cte("utterances", f"""
-SELECT conv_id, turn, CASE WHEN (conv_id * 8 + turn) % {INJECT_EVERY} = 0 THEN p.phrase ELSE text END AS text
+SELECT conv_id, turn, text FROM conversations WHERE role = 'user'
+UNION ALL
+SELECT conv_id, turn + {PHRASE_TURN}, p.phrase
 FROM conversations c JOIN phrases p ON p.i = ((conv_id * 8 + turn) // {INJECT_EVERY}) % (SELECT count(*) FROM phrases)
-WHERE role = 'user'""", ["phrases"])
+WHERE role = 'user' AND (conv_id * 8 + turn) % {INJECT_EVERY} = 0""", ["phrases"])
 cte("utter", f"SELECT conv_id, turn, {NORM.format('text')} AS norm FROM utterances", ["utterances"])
 cte("tagged", """
 SELECT u.conv_id, u.turn,
@@ -189,12 +192,13 @@ FROM tagged""", ["tagged"])
 
 
 def chat_turns(spark, sf_dir):
-    """Conversations whose every third user turn says one of the trigger phrases in turn."""
+    """All turns of the conversations, and user turns of their own that say the trigger phrases one by one."""
     phrases = [p for ps in fixed.TOPIC_PHRASES.values() for p in ps]
+    turns = read_table(spark, sf_dir, "conversations")
     number = F.col("conv_id") * 8 + F.col("turn")
     said = F.get(F.array(*[F.lit(p) for p in phrases]), (F.floor(number / INJECT_EVERY) % len(phrases)).cast("int"))
-    inject = (F.col("role") == "user") & (number % INJECT_EVERY == 0)
-    return read_table(spark, sf_dir, "conversations").withColumn("text", F.when(inject, said).otherwise(F.col("text")))
+    more = turns.where((F.col("role") == "user") & (number % INJECT_EVERY == 0)).withColumns({"text": said, "turn": F.col("turn") + PHRASE_TURN})
+    return turns.unionByName(more)
 
 
 @register("intent_tags", "P-06", sql("SELECT conv_id, turn, topics, intent FROM intents", "intents"))

@@ -206,3 +206,28 @@ def decision_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_accept": rows, "tenure_months": (k * 19 % 40).cast("double"), "active_credit": (k % 3).cast("double"),
         "months_since_last_credit": (k * 5 % 48).cast("double"),
     })
+
+
+def contract_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member id and all 31 features of the model contract, some null or NaN."""
+    m = member_features(spark, sf_dir)
+    k = F.col("member_id").cast("bigint") - CEDULA_BASE
+    number = lambda c: c.cast("double")
+    flag = lambda n, r: F.when(k % n == r, 1.0).otherwise(0.0)
+    more = {
+        "tenure_months": F.when(k % 53 != 0, number(k * 19 % 40)), "subsidy_usage_12m": number(k * 23 % 13),
+        "supermarket_usage_12m": F.when(k % 47 == 0, float("nan")).otherwise(number(k * 37 % 53)), "recreation_usage_12m": number(k * 41 % 17), "education_usage_12m": number(k * 43 % 7),
+        "services_usage_index": F.when(k % 91 != 0, (k * 13 % 101) / 100.0), "months_since_last_credit": number(k * 5 % 48), "active_credit": number(k % 3),
+        "tax_interest": flag(5, 0), "tourism_interest": flag(6, 1), "tech_interest": flag(7, 2), "health_interest": flag(8, 3),
+        "company_size": _pick(k, 4, ["micro", "pequena", "mediana", None]), "city": _pick(k, 5, ["Bogota", "Medellin", "Cali", "Tunja", "Leticia"]),
+        "life_event": _pick(k, 6, ["matrimonio", "nacimiento", None, "mudanza", "grado", "jubilacion"]), "job_sector": _pick(k, 3, ["servicios", "comercio", "industria"]),
+    }
+    return m.withColumns(more).select("member_id", *fixed.NUMERICAL_FEATURES, *fixed.CATEGORICAL_FEATURES)
+
+
+def product_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(member_id, product_id, raw, y): a score per member and product, and whether
+    the member accepted it (null: never offered)."""
+    scores = decision_members(spark, sf_dir).select("member_id", F.explode("p_accept").alias("product_id", "raw"))
+    asked = interactions(spark, sf_dir).groupBy("member_id", "product_id").agg(F.max((F.col("outcome") == "accepted").cast("int")).alias("y"))
+    return scores.join(asked, ["member_id", "product_id"], "left")
