@@ -137,13 +137,20 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     return source.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, print, set (array of hashes) of each document that has words."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: np.ndarray | None = None) -> DataFrame:
+    """id, print, set (array of hashes) of each document that has words.
+
+    ``wanted``: a Bloom filter of ids (hashed by ``id_hash``); documents it
+    rules out are left out before their words are looked at.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", id_hash("id"))
+    held = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
     schema = T.StructType([source.schema[0], T.StructField("print", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
+            if held is not None:
+                batch = batch.filter(pa.array(maybe_listed(held.value, batch.column("h").to_numpy())))
             for kept, texts in slices(batch, ["id"], "text", 1 << 20):
                 words = Words(texts)
                 hashed = words.hashes()
@@ -156,6 +163,10 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, schema)
 
 
+def id_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
 def _estimated(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose estimated similarity may reach the threshold, with it."""
     left = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketches").alias("s_a"))
@@ -304,19 +315,10 @@ def _buckets(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the wanted nodes. A Bloom filter of their ids spares the other texts the way."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks, n = 1, wanted.count()
     while blocks < min(MAX_BLOCKS, -(-n // KEYS_PER_BLOCK)):
         blocks *= 2
-    hashed = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    filter_ = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(hashed.alias("h")), blocks))
-
-    def run(batches):
-        for batch in batches:
-            yield batch.select(["id", "text"]).filter(pa.array(maybe_listed(filter_.value, batch.column("h").to_numpy())))
-
-    texts = source.withColumn("h", hashed).mapInArrow(run, source.schema)
-    sets = shingle_sets(texts, "id").dropDuplicates(["id", "print"])
+    sets = shingle_sets(docs, id_col, text_col, bloom(wanted.select(id_hash("id").alias("h")), blocks)).dropDuplicates(["id", "print"])
     pick = (sets["id"].eqNullSafe(wanted["id"])) & (sets["print"] == wanted["print"])
     return sets.join(wanted.select("node", "id", "print"), pick).select("node", "set")
 
