@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 RECORD_DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_NO_PAGE = "<urn:no-page>"
 
 
 class WarcError(ValueError):
@@ -40,17 +41,22 @@ def _one_line(value) -> str:
     return str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _page_urn(page_id) -> str:
+    """Record id of a page; a page without an id has a name of its own."""
+    return _NO_PAGE if page_id is None else f"<urn:page:{_one_line(page_id)}>"
+
+
 def write_record(page_id, url, payload: bytes, refers_to=None, revisit: bool = False) -> bytes:
-    """One record as one gzip member. A revisit keeps the HTTP header (so the
+    """One record as one gzip member. A null id is written as ``<urn:no-page>`` and read back as null. A revisit keeps the HTTP header (so the
     payload's length is known) and refers to the response; it has no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_one_line(page_id)}>", f"WARC-Date: {RECORD_DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_page_urn(page_id)}", f"WARC-Date: {RECORD_DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_one_line(url)}")
     head += [f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}"]
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{_one_line(refers_to)}>"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_page_urn(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     record = "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -91,7 +97,8 @@ def _headers(data: bytes) -> tuple[str, dict[str, str]]:
 
 def read_record(chunks: Iterator[bytes]) -> dict:
     """Frame and verify one record: header, then Content-Length bytes of block,
-    then the end mark. The payload is hashed as it streams and also returned."""
+    then the end mark. Reading stops there, whatever follows: a damaged member that
+    goes on is found at its next chunk and never held. The payload is also returned."""
     data = b""
     while (cut := data.find(b"\r\n\r\n")) < 0:
         more = next(chunks, None)
@@ -103,12 +110,14 @@ def read_record(chunks: Iterator[bytes]) -> dict:
         raise WarcError(f"not a WARC record: {version[:40]!r}")
     length = int(head["content-length"])
     parts, have = [data[cut + 4:]], len(data) - cut - 4
-    for more in chunks:
+    while have < length + 4 and (more := next(chunks, None)) is not None:
         parts.append(more)
         have += len(more)
     block = b"".join(parts)
     if have != length + 4 or block[length:] != b"\r\n\r\n":
         raise WarcError(f"record of {have - 4} bytes, Content-Length {length}")
+    if next(chunks, None) is not None:
+        raise WarcError(f"bytes after the record, Content-Length {length}")
     block = block[:length]
     if "warc-block-digest" in head and head["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
         raise WarcError("block digest does not match")
@@ -118,7 +127,7 @@ def read_record(chunks: Iterator[bytes]) -> dict:
     digest = head["warc-payload-digest"].removeprefix("sha1:")
     if head["warc-type"] == "response" and (len(payload) != size or sha1_base32(payload) != digest):
         raise WarcError("payload digest does not match")
-    name = lambda k: head[k][len("<urn:page:"):-1] if k in head else None
+    name = lambda k: head[k][len("<urn:page:"):-1] if head.get(k, _NO_PAGE) != _NO_PAGE else None
     plain = lambda x: x if x is None else x.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
     return {"record_id": plain(name("warc-record-id")), "record_type": head["warc-type"], "refers_to": plain(name("warc-refers-to")),
             "url": plain(head.get("warc-target-uri")), "payload_bytes": size, "payload_digest": digest,

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cauce.llm import chat_format, quality_rules, warc
+from cauce.llm import chat_format, quality_rules, queries, warc
 from tests.llm.conftest import AWKWARD, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -117,6 +118,16 @@ def test_archives_read_back(spark, tmp_path):
     assert not [p for p in (tmp_path / "w").iterdir() if "draft" in p.name]
 
 
+def test_null_ids_are_null_again(spark, tmp_path):
+    frame = spark.createDataFrame([(None, "u", "a"), (None, "u", "a"), (None, None, None), (3, "u", "b"), (None, "u", "b")], "page_id long, url string, html string")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op3_warc(spark, str(tmp_path)).collect()
+    seen = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in got)
+    assert [x for x in seen if x[1] == 0] == [("None", 0, "response", "None")]
+    assert seen == sorted([("None", 1, "response", "None"), ("None", 1, "response", "None"), ("None", 0, "response", "None"),
+                           ("3", 1, "response", "None"), ("None", 1, "revisit", "3")])
+
+
 def test_small_payloads_are_all_responses_below_the_bound(spark, tmp_path):
     frame = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     warc.write_archives(frame, str(tmp_path / "w"), min_bytes=3)
@@ -135,6 +146,10 @@ def test_each_record_is_one_member_and_damage_is_found():
     members = [b"".join(m) for m in warc.read_members(io.BytesIO(b"".join(data)))]
     assert len(members) == 3 and all(m.startswith(b"WARC/1.1\r\n") for m in members)
     assert [warc.read_record(iter([m]))["payload_bytes"] for m in members] == [0, 3, 200_000]
+    endless = (b"x" * 100 for _ in iter(int, 1))
+    with pytest.raises(warc.WarcError):
+        warc.read_record(itertools.chain([members[1]], endless))
+    assert next(endless)  # read no further than the next chunk
     for broken in (members[1].replace(b"one", b"two"), members[1][:-1], members[1].replace(b"WARC/1.1", b"HTTP/1.1")):
         with pytest.raises(warc.WarcError):
             warc.read_record(iter([broken]))
