@@ -49,14 +49,17 @@ def escalations(turns: DataFrame) -> DataFrame:
     """Per conversation: unknown user turns and the turn at which the third occurs.
 
     ``row_number() <= 3`` keeps at most three rows of a conversation per task
-    before the shuffle (Spark's window group limit), so a conversation of any
-    length moves three turns and one partial count.
+    and kind before the shuffle (Spark's window group limit), so a conversation
+    of any length moves six turns and one partial count. Unknown turns are told
+    apart by a column, not a filter: Spark would push a filter below the tagging
+    and normalise each text again for every phrase list.
     """
-    unknown = tag_intents(turns.filter(F.col("role") == "user")).filter(F.col("intent") == "unknown").select("conv_id", "turn")
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    third = (unknown.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= fixed.UNKNOWN_TURNS_TO_ESCALATE)
-             .groupBy("conv_id").agg(F.max(F.when(F.col("__k") == fixed.UNKNOWN_TURNS_TO_ESCALATE, F.col("turn"))).alias("escalation_turn")))
-    counts = unknown.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_unknown"))
+    tagged = tag_intents(turns.filter(F.col("role") == "user")).select("conv_id", "turn", (F.col("intent") == "unknown").alias("unknown"))
+    order = Window.partitionBy("conv_id", "unknown").orderBy("turn")
+    is_third = F.col("unknown") & (F.col("__k") == fixed.UNKNOWN_TURNS_TO_ESCALATE)
+    third = (tagged.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= fixed.UNKNOWN_TURNS_TO_ESCALATE)
+             .groupBy("conv_id").agg(F.max(F.when(is_third, F.col("turn"))).alias("escalation_turn")))
+    counts = tagged.groupBy("conv_id").agg(F.count_if("unknown").alias("n_unknown"))
     convs = turns.select("conv_id").distinct()
     out = convs.join(counts, "conv_id", "left").join(third, "conv_id", "left")
     return out.select("conv_id", F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"),

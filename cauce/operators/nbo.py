@@ -71,17 +71,21 @@ def catalog_literal(entries: list[tuple]) -> F.Column:
     return F.array(*[entry(e) for e in entries])
 
 
-def _offer(c: F.Column) -> F.Column:
-    """Struct of one catalog entry ``c`` for the member of the row."""
-    smmlv = float(fixed.SMMLV_COP)
+def _capped(c: F.Column) -> F.Column:
+    """Catalog entry ``c`` with the member's rate and the amount all caps leave."""
     category = F.col("category")
-    holds = lambda cond: F.coalesce(cond, F.lit(False))
     rate = F.when(category == "A", c["rate_a"]).when(category == "B", c["rate_b"]).when(category == "C", c["rate_c"])
     repaid = amount_for_instalment(F.col("__capacity"), rate, c["term"])
-    capped = F.when(repaid.isNotNull(), F.least(repaid, F.col("__limit"), c["most"]))
+    return F.struct(c.alias("entry"), rate.alias("rate"), F.when(repaid.isNotNull(), F.least(repaid, F.col("__limit"), c["most"])).alias("capped"))
+
+
+def _judged(s: F.Column) -> F.Column:
+    """Adds the first rule that fails and the amount offered to ``_capped``."""
+    c, capped = s["entry"], s["capped"]
+    holds = lambda cond: F.coalesce(cond, F.lit(False))
     need = F.when(F.col("contract_type") == "indefinido", fixed.TENURE_MONTHS_INDEFINITE).otherwise(fixed.TENURE_MONTHS_OTHER)
     rules = [
-        ("category", F.array_contains(c["categories"], category)),
+        ("category", F.array_contains(c["categories"], F.col("category"))),
         ("age", F.col("age").between(c["min_age"], c["max_age"])),
         ("job_tenure", F.col("job_tenure_months") >= need),
         ("score", F.col("internal_score") >= c["min_score"]),
@@ -93,12 +97,18 @@ def _offer(c: F.Column) -> F.Column:
     reason = F.coalesce(*[F.when(~holds(rule), F.lit(name)) for name, rule in rules])
     halved = F.greatest(capped * fixed.AMOUNT_REDUCTION_FACTOR, c["least"])
     amount = F.when(capped.isNotNull(), F.when(F.col("risk_tier") == "medium", halved).otherwise(capped))
-    accepts = F.try_element_at(F.col("p_accept"), c["product_id"])
-    ev = accepts * (amount / smmlv) * (c["margin"] - F.col("pd") * fixed.LGD)
+    return F.struct(c.alias("entry"), s["rate"].alias("rate"), reason.alias("reason"), amount.alias("amount"),
+                    F.try_element_at(F.col("p_accept"), c["product_id"]).alias("accepts"))
+
+
+def _offer(s: F.Column) -> F.Column:
+    """The offer of one judged entry, with instalment and expected value."""
+    c, amount = s["entry"], s["amount"]
+    ev = s["accepts"] * (amount / float(fixed.SMMLV_COP)) * (c["margin"] - F.col("pd") * fixed.LGD)
     gated = F.col("risk_tier").isin("low", "medium")
-    return F.struct(c["product_id"].alias("product_id"), accepts.alias("p_accept"), reason.alias("ineligible_reason"), c["term"].alias("term_months"),
-                    rate.alias("annual_rate"), amount.alias("amount"), instalment(amount, rate, c["term"]).alias("instalment"),
-                    F.when(reason.isNull() & gated, ev).alias("ev"))
+    return F.struct(c["product_id"].alias("product_id"), s["accepts"].alias("p_accept"), s["reason"].alias("ineligible_reason"), c["term"].alias("term_months"),
+                    s["rate"].alias("annual_rate"), amount.alias("amount"), instalment(amount, s["rate"], c["term"]).alias("instalment"),
+                    F.when(s["reason"].isNull() & gated, ev).alias("ev"))
 
 
 def evaluate_members(members: DataFrame, catalog: list[tuple] | None = None) -> DataFrame:
@@ -118,12 +128,15 @@ def evaluate_members(members: DataFrame, catalog: list[tuple] | None = None) ->
         "risk_tier": risk_tier(F.col("pd")),
         "__capacity": income * (F.lit(1.0) - F.col("debt_ratio")) * fixed.DISPOSABLE_INCOME_SHARE,
         "__limit": F.when(income <= float(fixed.SMMLV_COP), F.least(limit, F.lit(fixed.LOW_INCOME_AMOUNT_CAP))).otherwise(limit)})
-    return gated.withColumn("offers", F.transform(catalog_literal(catalog or fixed.PRODUCT_CATALOG), _offer)).drop("__capacity", "__limit")
+    # each step is an array of its own, so a lambda computes a shared term once
+    judged = F.transform(F.transform(catalog_literal(catalog or fixed.PRODUCT_CATALOG), _capped), _judged)
+    return gated.withColumn("offers", F.transform(judged, _offer)).drop("__capacity", "__limit")
 
 
 def evaluate_products(evaluated: DataFrame) -> DataFrame:
-    """One row per (member, product) of ``evaluate_members``."""
-    return evaluated.select("member_id", "pd", "risk_tier", F.inline("offers"))
+    """One row per (member, product) of ``evaluate_members``. The outer form
+    keeps Spark from inferring a filter on the array, which would compute it twice."""
+    return evaluated.select("member_id", "pd", "risk_tier", F.inline_outer("offers")).filter(F.col("product_id").isNotNull())
 
 
 def with_ranking(evaluated: DataFrame, top_n: int = 3) -> DataFrame:
@@ -135,8 +148,9 @@ def with_ranking(evaluated: DataFrame, top_n: int = 3) -> DataFrame:
 
 
 def rank_offers(ranked: DataFrame) -> DataFrame:
-    """One row per ranked offer: rank 1 is the primary one."""
-    out = ranked.select("member_id", "pd", "risk_tier", F.posexplode("ranked").alias("place", "o"))
+    """One row per ranked offer: rank 1 is the primary one. Outer for the same
+    reason as in ``evaluate_products``; members without an offer go afterwards."""
+    out = ranked.select("member_id", "pd", "risk_tier", F.posexplode_outer("ranked").alias("place", "o")).filter(F.col("place").isNotNull())
     return out.select("member_id", "pd", "risk_tier", (F.col("place") + 1).alias("rank"), "o.*",
                       F.when(F.col("place") == 0, "primary").otherwise("alternative").alias("role"))
 
