@@ -15,7 +15,6 @@ SYNTHETIC_ID_PATTERN = r"\AP[0-9]{1,11}\z"
 MIN_BATCH_SIZE = 10
 MAX_BATCH_SIZE = 2000
 MAX_RAW_IDS = 10000
-MAX_UPLOAD_BYTES = 1 << 20
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: rule-based offer engine

@@ -7,12 +7,17 @@ used for ids because it drops cells beyond the first row's width.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce import fixed
 from cauce.functions.ids import strip_ws
 
+#: Largest id file that is one row; larger ones are read in splits.
+WHOLE_FILE_BYTES = 1 << 26
 
 #: Stands for a break that splits; no text file has it.
 _MARK = "\u0001\ue000\u0001"
@@ -33,20 +38,46 @@ def id_lines(files: DataFrame) -> DataFrame:
     return files.select(*[c for c in files.columns if c != "content"], F.posexplode(lines).alias("line_no", "value"))
 
 
-def read_id_files(spark: SparkSession, path: str, max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:
+def _number_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``line_no`` = first byte of the line's file block + lines of that block so far.
+    A line has a byte at least, so numbers of one block end before the next begins."""
+    block, done = None, 0
+    for batch in batches:
+        paths, starts = batch.column("file_path").dictionary_encode(), batch.column("start").to_numpy()
+        codes = paths.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])) + 1).tolist(), len(starts)]
+        numbers = np.empty(len(starts), np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                here = (paths.dictionary[codes[a]].as_py(), starts[a])
+                done = done if here == block else 0
+                numbers[a:b] = starts[a] + done + np.arange(b - a)
+                block, done = here, done + b - a
+        yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array(numbers), batch.column("value")], ["file_path", "line_no", "value"])
+
+
+def split_id_lines(spark: SparkSession, paths: str | list[str], above: int = 0) -> DataFrame:
+    """Lines of id files of any size, read in splits by many tasks: (file_path,
+    line_no, value). ``line_no`` orders the lines of a file and has gaps. A line
+    break always ends a cell here, also inside quotes. Only files above ``above`` bytes."""
+    lines = (spark.read.format("text").option("lineSep", "\n").option("pathGlobFilter", "*.{csv,txt}").load(paths)
+             .filter(F.col("_metadata.file_size") > above)
+             .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "\r$", "").alias("value")))
+    return lines.mapInArrow(_number_lines, "file_path string, line_no bigint, value string")
+
+
+def read_id_files(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Lines of ``.csv``/``.txt`` files under ``path`` with file and line identity.
 
-    Each file is one row (``wholetext``), so its line order survives; that
-    is bounded, because files above ``max_bytes`` (the transport cap of ids at
-    their longest, with quotes and breaks) are refused: the job fails. Empty
-    files are skipped. Files are spread over tasks.
+    A file of at most ``whole_bytes`` is one row (``wholetext``), so quoted cells
+    may hold line breaks; a larger one is read in splits by ``split_id_lines``.
+    No size is refused: the gate judges the ids. Empty files have no lines.
     """
+    size = F.col("_metadata.file_size")
     files = (spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}").load(path)
-             .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("size"))
-             .filter(F.col("size") > 0))
-    sized = files.withColumn("content", F.when(F.col("size") <= max_bytes, F.col("content")).otherwise(
-        F.raise_error(F.concat(F.lit("upload larger than the transport cap: "), F.col("file_path"))).cast("string")))
-    return id_lines(sized.drop("size"))
+             .filter((size > 0) & (size <= whole_bytes)).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("file_path")))
+    small = id_lines(files).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return small.unionByName(split_id_lines(spark, path, above=whole_bytes))
 
 
 def parse_id_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ restarted driver resumes exactly where it stopped.
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from cauce.operators.campaign import person_results
 from cauce.operators.intake import accepted_ids, intake_counts, triage_ids
 from cauce.operators.messages import compose_messages
 from cauce.session import shared_path
-from cauce.sources.uploads import id_lines, parse_id_lines
+from cauce.sources.uploads import WHOLE_FILE_BYTES, id_lines, parse_id_lines, split_id_lines
 
 INTERACTION_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -32,16 +33,13 @@ INTERACTION_SCHEMA = T.StructType([
 ])
 
 
-#: Largest upload that is read, as one row; its ids are the gate's business.
-WHOLE_FILE_BYTES = 1 << 26
-
-
 def id_file_stream(spark: SparkSession, in_dir: str, max_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """X-01: whole dropped ``.csv``/``.txt`` files; the batch id is the hash of
     the content, so a file sent again is the same batch, whatever its name.
     ``maxFileAge`` keeps files that arrive with an old time (the source would
     leave out those a week behind the newest). A file above ``max_bytes`` is not
-    read: its content is null, its id the hash of its path, size and time."""
+    held as one row: its content is null (its lines are read in splits) and its
+    id the hash of its path, size and time."""
     def source(kind: str, schema: str) -> DataFrame:
         return (spark.readStream.format(kind).schema(schema).option("wholetext", True).option("pathGlobFilter", "*.{csv,txt}")
                 .option("maxFilesPerTrigger", 100).option("maxFileAge", "36500d").load(in_dir))
@@ -50,7 +48,7 @@ def id_file_stream(spark: SparkSession, in_dir: str, max_bytes: int = WHOLE_FILE
              .filter((F.col("size") > 0) & (F.col("size") <= max_bytes))
              .select("content", "file_path", F.sha2(F.col("content").cast("binary"), 256).alias("batch_id")))
     large = (source("binaryFile", "path string, modificationTime timestamp, length long, content binary").filter(F.col("length") > max_bytes)
-             .select(F.lit(None).cast("string").alias("content"), F.col("path").alias("file_path"),
+             .select(F.lit(None).cast("string").alias("content"), F.col("_metadata.file_path").alias("file_path"),
                      F.sha2(F.concat_ws("|", "path", "length", F.unix_micros("modificationTime")).cast("binary"), 256).alias("batch_id")))
     return small.unionByName(large)
 
@@ -79,8 +77,8 @@ def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, ou
     ``bucket`` (64 by batch id), hold batches (with the gate's verdict and
     counts), results and outbox. The batch row is written last; a micro-batch
     that broke off before it is redone, and what it had written is left out by
-    key. A failing read fails the micro-batch. An upload above ``max_bytes`` has
-    a batch row that says too_large, without counts.
+    key. A failing read fails the micro-batch. Uploads above ``max_bytes`` are
+    read in splits; the gate judges the ids of every file, whatever its size.
     """
     checkpoint = checkpoint or shared_path(spark, "stream-campaign")
     paths = {t: os.path.join(out_dir, t) for t in ("batches", "results", "outbox")}
@@ -99,7 +97,12 @@ def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, ou
             fresh = files if done is None else files.join(F.broadcast(done.select("batch_id")), "batch_id", "left_anti")
             if fresh.isEmpty():
                 return
-            cells = parse_id_lines(id_lines(fresh), keep=["batch_id", "file_path"])
+            lines = id_lines(fresh.filter(F.col("content").isNotNull()).select("batch_id", "file_path", "content")).withColumn("line_no", F.col("line_no").cast("bigint"))
+            large = [r["file_path"] for r in fresh.filter(F.col("content").isNull()).select("file_path").collect()]  # at most maxFilesPerTrigger
+            if large:
+                ids = F.broadcast(fresh.select("batch_id", "file_path"))
+                lines = lines.unionByName(split_id_lines(spark, [unquote(p) for p in large]).join(ids, "file_path"))
+            cells = parse_id_lines(lines, keep=["batch_id", "file_path"])
             triaged = triage_ids(cells).persist()
             counts = intake_counts(triaged)
             results = person_results(accepted_ids(triaged, counts), persons).join(F.broadcast(batches), "batch_id").persist()
@@ -107,8 +110,7 @@ def run_campaign_stream(spark: SparkSession, in_dir: str, persons: DataFrame, ou
             messages = compose_messages(results.filter(F.col("result_status") == "processed"))
             write(messages.select("bucket", "batch_id", "person_id", "product_id", "channel", "contact_window", "message_text", "message_source"),
                   "outbox", ["batch_id", "person_id"], batches)
-            unread = F.when(F.col("content").isNull(), "too_large").otherwise("too_small")
-            gated = fresh.select("bucket", "batch_id", "content").join(counts, "batch_id", "left").withColumn("gate", F.coalesce("gate", unread))
+            gated = fresh.select("bucket", "batch_id").join(counts, "batch_id", "left").withColumn("gate", F.coalesce("gate", F.lit("too_small")))
             write(gated.select("bucket", "batch_id", "gate", "raw_count", "count", "invalid_count", "duplicate_count"), "batches", ["batch_id"], batches)
             results.unpersist()
             triaged.unpersist()

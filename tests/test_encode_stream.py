@@ -72,17 +72,17 @@ def test_stream_campaign(spark, personas, tmp_path):
 
 
 def test_stream_keeps_large_uploads(spark, personas, tmp_path):
-    """Above 1 MiB: padded and quoted cells are read; beyond the stream's bound a batch row says so."""
+    """Padded and quoted cells are read, and files beyond the bound of one row, in splits."""
     inbox = tmp_path / "in"
     inbox.mkdir()
     (inbox / "padded.csv").write_text("\n".join(f'"{i}"' + " " * 120_000 for i in IDS), encoding="utf-8")
     (inbox / "quoted.csv").write_text("\n".join(f'"{i}",' + '" ",' * 40_000 for i in reversed(IDS)), encoding="utf-8")
-    (inbox / "beyond.txt").write_text("1" * 3_000_000, encoding="utf-8")
-    assert all(f.stat().st_size > 1 << 20 for f in inbox.iterdir())
+    (inbox / "beyond one.csv").write_text("\r\n".join(["P0006," + "," * 300_000, *IDS[:9]]), encoding="utf-8")
+    (inbox / "beyond.txt").write_text("12345678\n" * 40_000 + "1" * 70_000_000, encoding="utf-8")  # above 64 MiB too
+    assert all(f.stat().st_size > 300_000 for f in inbox.iterdir())
     for _ in range(2):  # a replay changes nothing
-        q = jobs.run_campaign_stream(spark, str(inbox), personas, str(tmp_path / "out"), checkpoint=str(tmp_path / f"ck{_}"), max_bytes=2_000_000)
+        q = jobs.run_campaign_stream(spark, str(inbox), personas, str(tmp_path / "out"), checkpoint=str(tmp_path / f"ck{_}"), max_bytes=250_000)
         q.awaitTermination()
         rows = spark.read.parquet(str(tmp_path / "out" / "batches")).collect()
-        assert sorted((r["gate"], r["count"]) for r in rows if r["count"]) == [("accepted", 10)] * 2
-        assert [r["gate"] for r in rows if r["count"] is None] == ["too_large"]
-        assert spark.read.parquet(str(tmp_path / "out" / "results")).count() == 20
+        assert sorted((r["gate"], r["raw_count"], r["count"]) for r in rows) == [("accepted", 10, 10)] * 3 + [("too_many_raw", 40_001, 1)]
+        assert len(rows) == 4 and spark.read.parquet(str(tmp_path / "out" / "results")).count() == 30

@@ -72,11 +72,27 @@ def test_quoted_cells_blanks_and_long_lines(spark, tmp_path):
     assert [r["raw_id"] for r in last[-2:]] == ["7", "8"] and len({r["pos"] for r in last}) == 150_002
 
 
-def test_uploads_above_the_cap_are_refused(spark, tmp_path):
-    (tmp_path / "big.csv").write_text("12345678," * 100, encoding="utf-8")
-    with pytest.raises(Exception, match="transport cap"):
-        read_id_files(spark, str(tmp_path), max_bytes=100).collect()
-
+def test_large_uploads_are_read_in_splits(spark, tmp_path):
+    """Every line of every file, in order, whether it is one row or cut into blocks."""
+    import random
+    rng = random.Random(3)
+    texts = {f"f{k}.{kind}": end.join(str(rng.randrange(10 ** rng.randrange(1, 12))) + rng.choice(["", ",7", "  ", ",,"]) for _ in range(3000)) + last
+             for k, (kind, end, last) in enumerate([("csv", "\n", ""), ("csv", "\r\n", "\r\n"), ("txt", "\n", "\n\n"), ("csv", "\n\n", ",9")])}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(("\ufeff" + text).encode())
+    (tmp_path / "empty.csv").write_text("")
+    expect = {n: [c.strip() for line in t.splitlines() for c in ([line] if n.endswith("txt") else line.split(",")) if c.strip()] for n, t in texts.items()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        for whole in (1 << 20, 25_000, 0):
+            got = {}
+            for r in sorted(parse_id_lines(read_id_files(spark, str(tmp_path), whole_bytes=whole), keep=["file_path"]).collect(), key=lambda r: (r["file_path"], r["pos"])):
+                got.setdefault(r["file_path"].rsplit("/", 1)[-1], []).append(r["raw_id"])
+            assert got == expect
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 def test_ids_end_where_the_text_ends(spark):
     values = ["12345\u2028", "\u00a012345\u00a0", "\u200512345", "12345\n", "P1\u2028x"]
