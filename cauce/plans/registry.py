@@ -35,5 +35,5 @@ def register(name: str, ops: str, oracle: object | None = None):
 
 def load_all() -> dict[str, Query]:
     """Import every module that registers queries."""
-    from cauce.plans import q_campaign, q_metrics, q_quality, q_decision, q_text, q_models, q_stream, q_lifecycle  # noqa: F401
+    from cauce.plans import q_campaign, q_metrics, q_quality, q_decision, q_text, q_models, q_stream, q_lifecycle, q_capture  # noqa: F401
     return REGISTRY
