@@ -159,11 +159,26 @@ def lift_table(scored: DataFrame, y: str = "y", p: str = "p", n_deciles: int = f
 
 
 def top_k_flags(scored: DataFrame, top_k_pct: float, id_col: str, p: str = "p") -> DataFrame:
-    """Adds ``in_top``: the first ``int(n * pct)`` rows by score desc, id asc."""
-    n = scored.count()
+    """Adds ``in_top``: the first ``int(n * pct)`` rows by score desc, id asc (unique; null scores last, null ids first).
+
+    The cut score comes from the distinct scores and their counts; only the ids
+    of the rows that tie there are ranked. The rows themselves are flagged where
+    they are, without a shuffle. The driver holds the cut score and the cut id.
+    """
+    cum = cumulative_sums(scored.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n")), "p", ["n"])
+    n = cum.agg(F.sum("n")).first()[0] or 0
     n_top = int(n * top_k_pct)
-    ranked = global_row_number(scored, [F.col(p).desc(), F.col(id_col)], out="__rank")
-    return ranked.withColumn("in_top", F.col("__rank") <= n_top).drop("__rank")
+    above = n - F.col("n_cum")
+    cut = cum.filter((above < n_top) & (F.col("n") + above >= n_top)).select("p", "n", (n_top - above).alias("k")).first()
+    if cut is None:  # nobody is selected
+        return scored.withColumn("in_top", F.lit(False))
+    tied, score, key = F.col(p).eqNullSafe(F.lit(cut["p"])), F.col(p), F.col(id_col)
+    first = F.lit(True)
+    if cut["k"] < cut["n"]:
+        last = global_row_number(scored.filter(tied).select(id_col), [key], out="__rank").filter(F.col("__rank") == cut["k"]).first()[id_col]
+        first = key.isNull() | F.coalesce(key <= F.lit(last), F.lit(False))
+    higher = score.isNotNull() if cut["p"] is None else F.coalesce(score > F.lit(cut["p"]), F.lit(False))
+    return scored.withColumn("in_top", higher | (tied & first))
 
 
 def fairness_audit(scored: DataFrame, groups: dict[str, str], id_col: str, y: str = "y", p: str = "p",

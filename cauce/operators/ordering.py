@@ -24,6 +24,8 @@ long pipelines is cut at that point.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -93,25 +95,22 @@ def cumulative_sums(df: DataFrame, order_col: str | list[str], sum_cols: list[st
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order)
               .withColumn(_PID, F.spark_partition_id()))
-    totals = ranged.groupBy(_PID).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     w_off = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *[F.coalesce(F.sum(f"__t_{c}").over(w_off), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
-
     schema = StructType(list(ranged.schema.fields))
     for c in sum_cols:
         schema = schema.add(f"__l_{c}", ranged.schema[c].dataType)
 
     def _running(batches):
-        carry = {c: 0 for c in sum_cols}
-        for pdf in batches:
+        carry = dict.fromkeys(sum_cols, 0)
+        for batch in batches:
+            runs = []
             for c in sum_cols:
-                run = pdf[c].cumsum() + carry[c]
-                if len(run):
-                    carry[c] = run.iloc[-1]
-                pdf[f"__l_{c}"] = run
-            yield pdf
+                values = batch.column(c)
+                runs.append(pc.cumulative_sum(values, start=pa.scalar(carry[c], values.type), skip_nulls=True))
+                carry[c] += pc.sum(values).as_py() or 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *runs], names=schema.names)
 
-    local = _materialise(ranged.mapInPandas(_running, schema))
+    local = _materialise(ranged.mapInArrow(_running, schema))
     totals = local.groupBy(_PID).agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     offsets = totals.select(_PID, *[F.coalesce(F.sum(f"__t_{c}").over(w_off), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
     out = local.join(F.broadcast(offsets), _PID)

@@ -5,7 +5,7 @@ X-02 duplicate-safe intake: a file with stored content is not processed again
 X-03 campaign per micro-batch with the size gate and idempotent tables
      (``foreachBatch``, anti-join on the keys stored for the batches in hand)
 X-04 live batch progress: finished over total of each accepted batch
-X-05 interaction stream -> windowed channel accept counts and smoothed rates
+X-05 interaction stream -> windowed channel accept counts, by segment too, and smoothed rates
 
 All jobs take their checkpoint folder under ``spark.checkpoint.dir`` so a
 restarted driver resumes exactly where it stopped.
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cauce import fixed
 from cauce.operators.campaign import person_results
 from cauce.operators.intake import accepted_ids, intake_counts, triage_ids
 from cauce.operators.messages import compose_messages
+from cauce.operators.nbo import segment
 from cauce.session import shared_path
 from cauce.sources.uploads import WHOLE_FILE_BYTES, id_lines, parse_id_lines, split_id_lines
 
@@ -136,7 +138,6 @@ def progress(spark: SparkSession, out_dir: str) -> DataFrame:
 def interaction_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet") -> DataFrame:
     """Interactions as a stream over parquet files (same binding as the batch table)."""
     from cauce.sources.derived import CEDULA_BASE, _pick  # noqa: PLC0415
-    from cauce import fixed  # noqa: PLC0415
     e = (spark.readStream.schema(INTERACTION_SCHEMA).option("pathGlobFilter", file_glob)
          .option("maxFilesPerTrigger", 1).parquet(source_dir))
     eid = F.col("event_id")
@@ -149,20 +150,41 @@ def interaction_stream(spark: SparkSession, source_dir: str, file_glob: str = "e
 
 
 def channel_window_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str | None = None,
-                          window: str = "1 day", watermark: str = "2 days"):
-    """X-05: accepts and sends per (day window, channel) with a watermark on contact time.
-
-    Complete output of a bounded state (windows x channels) is rewritten per
-    micro-batch; late rows beyond the watermark are dropped by design.
+                          window: str = "1 day", watermark: str = "2 days", members: DataFrame | None = None, file_glob: str = "events.parquet"):
+    """X-05: accepts and sends per (window, channel), and per segment of ``members`` when they are given.
+
+    Update mode: a micro-batch writes the windows it changed to a folder of its
+    own (``window_state`` reads the latest count of each), so a replayed one
+    writes the same folder again. Windows older than the watermark leave the
+    state, and rows that come later are dropped, so the state holds
+    the open windows x segments x channels. The members are joined as a static
+    table; interactions of unknown members have no segment and do not count there.
     """
     checkpoint = checkpoint or shared_path(spark, "stream-channel-windows")
-    s = interaction_stream(spark, source_dir).withWatermark("contacted_at", watermark)
-    agg = s.groupBy(F.window("contacted_at", window).alias("w"), "channel").agg(
+    s = interaction_stream(spark, source_dir, file_glob)
+    keys = ["channel"]
+    if members is not None:
+        s = s.join(members.select("member_id", segment().alias("segment")), "member_id")
+        keys = ["segment", "channel"]
+    agg = s.withWatermark("contacted_at", watermark).groupBy(F.window("contacted_at", window).alias("w"), *keys).agg(
         F.count(F.lit(1)).alias("sends"), F.count_if("accepted").alias("accepts"))
 
-    def handle(batch_df: DataFrame, batch_id: int) -> None:
-        (batch_df.select(F.col("w.start").alias("window_start"), "channel", "sends", "accepts")
-         .write.mode("overwrite").parquet(out_dir))
+    def handle(changed: DataFrame, number: int) -> None:
+        changed.select(F.col("w.start").alias("window_start"), *keys, "sends", "accepts").write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={number}"))
 
-    return (agg.writeStream.outputMode("complete").foreachBatch(handle)
+    return (agg.writeStream.outputMode("update").foreachBatch(handle)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def window_state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Latest counts of every window that ``channel_window_stream`` wrote."""
+    log = spark.read.parquet(out_dir)
+    keys = [c for c in log.columns if c not in ("batch", "sends", "accepts")]
+    last = log.groupBy(*keys).agg(F.max(F.struct("batch", "sends", "accepts")).alias("s"))
+    return last.select(*keys, "s.sends", "s.accepts")
+
+
+def window_rates(state: DataFrame, alpha: int = fixed.BAYES_ALPHA) -> DataFrame:
+    """Adds the smoothed accept rate of each window; the prior is the rate over all windows."""
+    prior = state.agg(F.try_divide(F.sum("accepts"), F.sum("sends"))).scalar()
+    return state.withColumn("rate", (F.col("accepts") + F.lit(alpha) * prior) / (F.col("sends") + F.lit(alpha)))
