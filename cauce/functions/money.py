@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cauce import fixed
+
 
 def cop_display(amount: Column) -> Column:
     """``$5.600.000``: round to the nearest thousand half-even, dot thousands."""
@@ -43,3 +45,15 @@ def amount_for_instalment(max_instalment: Column, annual_rate: Column, term_mont
     """Inverse of the French formula: the amount a given instalment repays."""
     i = monthly_rate(annual_rate)
     return max_instalment * (F.lit(1.0) - F.pow(F.lit(1.0) + i, -term_months)) / i
+
+
+def income_in_wages(income: Column) -> Column:
+    """Income in legal minimum wages, kept within 1 and 25; null and NaN give null."""
+    known = F.when(~F.isnan(income.cast("double")), income.cast("double"))
+    return F.when(known.isNotNull(), F.least(F.greatest(known / fixed.SMMLV_COP, F.lit(1.0)), F.lit(25.0)))
+
+
+def wage_tier(income: Column) -> Column:
+    """A up to 2 minimum wages, B up to 4, C above; null without an income."""
+    wages = income_in_wages(income)
+    return F.when(wages <= 2, "A").when(wages <= 4, "B").when(wages > 4, "C")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cauce import fixed
-from cauce.operators import nbo
+from cauce.functions import money
+from cauce.operators import nbo, reasons
 from cauce.plans.oracle import cte, pick, sql
 from cauce.plans.registry import register
 from cauce.sources import derived
@@ -344,7 +345,7 @@ SELECT segment, channel, first(contact_window ORDER BY rate DESC, contact_window
   FROM segmented GROUP BY segment, channel, contact_window) a GROUP BY segment, channel""", ["segmented", "prior"])
 
 
-@register("nbo_response", "P-03, F-17, W-05, F-14", sql(f"""
+cte("responses", """
 SELECT d.member_id, d.risk_tier, d.primary_product, d.alternatives, o.amount, o.instalment, mc.channel, w.contact_window,
        CASE WHEN d.primary_product IS NULL THEN NULL
             WHEN m.months_since_event <= 12 THEN 'life_event' WHEN m.tenure_months <= 3 THEN 'new_member'
@@ -354,7 +355,10 @@ FROM decided d JOIN gap_members m ON d.member_id = m.member_id
 LEFT JOIN (SELECT member_id, CAST(round(amount) AS BIGINT) AS amount, CAST(round(instalment) AS BIGINT) AS instalment FROM ranked WHERE "rank" = 1) o ON d.member_id = o.member_id
 LEFT JOIN season s ON s.product_id = d.primary_product
 JOIN gap_channel mc ON mc.member_id = d.member_id
-LEFT JOIN chan_windows w ON w.segment = mc.segment AND w.channel = mc.channel""", "decided", "gap_members", "ranked", "season", "gap_channel", "chan_windows"))
+LEFT JOIN chan_windows w ON w.segment = mc.segment AND w.channel = mc.channel""", ["decided", "gap_members", "ranked", "season", "gap_channel", "chan_windows"])
+
+
+@register("nbo_response", "P-03, F-17, W-05, F-14", sql("SELECT * FROM responses", "responses"))
 def nbo_response(spark, sf_dir):
     """Whole decision, one row per member: offer, alternatives, channel, window, timing."""
     ranked = _ranked(spark, sf_dir)
@@ -382,3 +386,25 @@ SELECT member_id, segment, channel FROM (
                       || ['app', 'callcenter', 'branch']) AS channel
         FROM gap_members) a
   LEFT JOIN chan_rates r ON a.segment = r.segment AND a.channel = r.channel) x WHERE rn = 1""", ["gap_members", "chan_rates", "prior"])
+
+
+@register("decision_reasons", "P-03", sql("""
+SELECT member_id, primary_product, 'Te recomendamos ' || replace(primary_product, '_', ' ')
+  || '; la cuota mensual de $' || replace(format('{:,}', CAST(round_even(instalment / 1000.0, 0) AS BIGINT) * 1000), ',', '.') || ' no supera el 30% de tu ingreso disponible; te contactamos por '
+  || CASE channel WHEN 'whatsapp' THEN 'WhatsApp' WHEN 'sms' THEN 'SMS' WHEN 'email' THEN 'correo' WHEN 'app' THEN 'la app' WHEN 'callcenter' THEN 'llamada' ELSE 'la oficina' END
+  || CASE contact_window WHEN 'morning' THEN ' en la mañana' WHEN 'midday' THEN ' al mediodía' WHEN 'afternoon' THEN ' en la tarde' WHEN 'night' THEN ' en la noche' ELSE '' END
+  || CASE timing WHEN 'life_event' THEN ', por tu evento de vida reciente' WHEN 'new_member' THEN ', por tu ingreso a la caja' WHEN 'cleared_credit' THEN ', por tu crédito ya pagado'
+                 WHEN 'seasonality' THEN ', por la temporada' ELSE ', de inmediato' END || '.' AS reason
+FROM responses""", "responses"))
+def decision_reasons(spark, sf_dir):
+    """Every member's decision with its reason sentence (null without an offer)."""
+    return reasons.with_reasons(nbo_response(spark, sf_dir)).select("member_id", "primary_product", "reason")
+
+
+@register("wage_tiers", "F-32", sql(f"""
+SELECT member_id, CASE WHEN v IS NOT NULL THEN round(least(greatest(v / {fixed.SMMLV_COP}, 1.0), 25.0), 10) END AS wages, CASE WHEN v <= 2 * {fixed.SMMLV_COP} THEN 'A' WHEN v <= 4 * {fixed.SMMLV_COP} THEN 'B' WHEN v IS NOT NULL THEN 'C' END AS tier
+FROM (SELECT member_id, CASE WHEN NOT isnan(income) THEN CAST(income AS DOUBLE) END AS v FROM gap_members) m""", "gap_members"))
+def wage_tiers(spark, sf_dir):
+    """Every member's income in minimum wages and its tier; a missing income has neither."""
+    income = F.col("income")
+    return derived.decision_members(spark, sf_dir).select("member_id", F.round(money.income_in_wages(income), 10).alias("wages"), money.wage_tier(income).alias("tier"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cauce.operators import calibration, metrics, models, quality, tree_attribution
+from cauce.operators import calibration, metrics, models, quality, reasons, tree_attribution
 from cauce.plans.oracle import cte, sql
 from cauce.plans.registry import register
 from cauce.sources import derived
@@ -151,3 +151,10 @@ def tree_drivers(spark, sf_dir):
 def tree_importance(spark, sf_dir):
     """Mean |phi| per feature of the boosted trees, descending (rows-only check)."""
     return models.global_importance(_tree_phi(spark, sf_dir))
+
+
+@register("driver_reasons", "F-37, W-03")
+def driver_reasons(spark, sf_dir):
+    """The top-3 positive drivers of every member as one phrase, null without any (rows-only check)."""
+    top = models.top_positive_drivers(_tree_phi(spark, sf_dir), "member_id")
+    return top.select("member_id", reasons.driver_reason(F.col("drivers")).alias("reason"))
