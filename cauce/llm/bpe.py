@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SEPARATOR = b"\xff"  # never part of UTF-8
+#: Stands between fragments that are encoded in one call; a list of which one holds it is encoded one by one.
+_BETWEEN = "\U0010fffe"
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -46,12 +48,27 @@ class _Fragments(dict):
         ids = self.old.get(fragment)
         if ids is None:
             ids = np.array(self.encode(fragment.decode("utf-8")), "<u4").tobytes()
+        self.keep(fragment, ids)
+        return ids
+
+    def keep(self, fragment: bytes, ids: bytes) -> None:
         if len(fragment) <= self.longest:
             if len(self) >= self.capacity:
                 self.old = dict(self)
                 self.clear()
             self[fragment] = ids
-        return ids
+
+
+def _runs(rows: list[int], texts: list[bytes], budget: int = 4 << 20) -> list[list[int]]:
+    """Consecutive rows in runs of about ``budget`` bytes of text."""
+    out, size = [], budget
+    for k in rows:
+        if size >= budget:
+            out.append([])
+            size = 0
+        out[-1].append(k)
+        size += len(texts[k])
+    return out
 
 
 class ForcedBoundaryBPE:
@@ -75,8 +92,8 @@ class ForcedBoundaryBPE:
                 inside[pair[:-1], pair[1:]] = True
         self.never = ~inside
         self._cut = self._text_cuts().ravel()
-        fragment_encoder = tiktoken.Encoding("forced-boundary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._ids = _Fragments(fragment_encoder.encode_ordinary, cache)
+        self._encoder = tiktoken.Encoding("forced-boundary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={_BETWEEN: len(self.table)})
+        self._ids = _Fragments(self._encoder.encode_ordinary, cache)
         self._special = {t.encode("utf-8"): np.array([i], "<u4").tobytes() for t, i in added.items()}
         self._split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + b")") if added else None
 
@@ -98,6 +115,53 @@ class ForcedBoundaryBPE:
         fragments = np.insert(raw, at, 255).tobytes().split(_SEPARATOR)
         return b"".join(map(self._ids.__getitem__, fragments))
 
+    def _lookup(self, fragments: list[bytes]) -> list[bytes]:
+        """Ids of distinct fragments: unknown ones are encoded on their own, but in one call."""
+        cache = self._ids
+        found = list(map(cache.get, fragments))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k in missing:
+            found[k] = cache.old.get(fragments[k])
+        fresh = [k for k in missing if found[k] is None]
+        between = _BETWEEN.encode("utf-8")
+        listed = between.join([fragments[k] for k in fresh])
+        if listed.count(between) >= max(1, len(fresh)):
+            for k in fresh:
+                found[k] = np.array(cache.encode(fragments[k].decode("utf-8")), "<u4").tobytes()
+        elif fresh:
+            ids = np.array(self._encoder.encode(listed.decode("utf-8"), allowed_special="all"), "<u4")
+            packed, edges = ids.tobytes(), (4 * np.flatnonzero(ids == len(self.table))).tolist()
+            for k, a, b in zip(fresh, [0, *(e + 4 for e in edges)], [*edges, len(packed)]):
+                found[k] = packed[a:b]
+        for k in missing:
+            cache.keep(fragments[k], found[k])
+        return found
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """``encode`` of each text: the distinct fragments of all are looked up once."""
+        out = [self.encode(t) if self._split is not None and self._split.search(t) else b"" for t in texts]
+        plain = [k for k, t in enumerate(texts) if t and not out[k]]
+        for run in _runs(plain, texts):
+            self._encode_plain(run, texts, out)
+        return out
+
+    def _encode_plain(self, run: list[int], texts: list[bytes], out: list[bytes]) -> None:
+        data = b"".join([texts[k] for k in run])
+        raw = np.frombuffer(data, np.uint8)
+        cut = np.ones(len(raw) + 1, bool)
+        np.take(self._cut, (raw[:-1].astype(np.uint16) << 8) | raw[1:], out=cut[1:-1])
+        ends = np.cumsum([len(texts[k]) for k in run])
+        cut[ends] = True
+        offsets = np.flatnonzero(cut).astype(np.int32)
+        fragments = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._lookup(fragments.dictionary.to_pylist()), pa.large_binary()).take(fragments.indices)
+        _, starts, packed = ids.buffers()
+        starts = np.frombuffer(starts, np.int64)[:len(ids) + 1]
+        at = starts[np.searchsorted(offsets, ends)].tolist()
+        packed = packed.to_pybytes() if packed is not None else b""
+        for k, a, b in zip(run, [int(starts[0]), *at], at):
+            out[k] = packed[a:b]
+
     def encode(self, data: bytes) -> bytes:
         """Ids of a UTF-8 text, packed as little-endian unsigned 32-bit integers."""
         if self._split is None or not self._split.search(data):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cauce.llm.bpe import codec
-from cauce.llm.common import staged
+from cauce.llm.common import slices, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -208,13 +208,16 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col
     source = docs.select(id_col, text_col)
     schema = T.StructType([source.schema[0], *_PIECE_FIELDS])
 
+    def encoded(batch):
+        for _, texts in slices(batch, [], text_col):
+            for ids in codec(path).encode_all(texts):
+                yield ids + end
+
     def run(batches):
-        bpe, part, seen = codec(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows, piece, start, length, crc, place = [], [], [], [], [], []
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py()
-                ids = bpe.encode(text.encode("utf-8") if text else b"") + end
+            for i, ids in enumerate(encoded(batch)):
                 n = len(ids) // 4
                 at, k, size = 0, 0, n % capacity or capacity
                 while at < n:

@@ -32,6 +32,34 @@ def test_encoder_equals_the_library_on_random_texts(reference):
         assert codec.decode(packed) == reference.decode(ids, skip_special_tokens=False) == text
 
 
+def test_lists_of_texts_equal_the_library(reference):
+    """Many texts at once: as each alone, with special tokens, the mark between fragments, and a small cache."""
+    rng = random.Random(4)
+    alphabet = ["a", "th", "The", "'s", "'", " ", "  ", "\n", "\u0085", "\x00", "!", "$$$", "12", "é", "日本", "🙂", bpe._BETWEEN, "<|endoftext|>", "<|", "|>", ".com", "--", "\r\n"]
+    codec = bpe.ForcedBoundaryBPE(PATH, cache=50)
+    for few in (alphabet, [a for a in alphabet if a != bpe._BETWEEN]):
+        for _ in range(200):
+            texts = ["".join(rng.choice(few) for _ in range(rng.randrange(40))) for _ in range(rng.randrange(20))]
+            packed = codec.encode_all([t.encode() for t in texts])
+            assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_fragments_are_encoded_in_one_call():
+    codec, calls = bpe.ForcedBoundaryBPE(PATH), []
+    encoder = codec._encoder
+
+    class Counting:
+        def encode(self, text, **options):
+            calls.append(text)
+            return encoder.encode(text, **options)
+
+    codec._encoder, codec._ids.encode = Counting(), None
+    texts = [f"word{k} other{k * k}, text".encode() for k in range(500)]
+    once = codec.encode_all(texts)
+    assert len(calls) == 1 and codec.encode_all(texts) == once and len(calls) == 1
+    assert once == [bpe.codec(PATH).encode(t) for t in texts]
+
+
 def test_cuts_never_fall_inside_a_token():
     codec = bpe.codec(PATH)
     for token in codec.table:
