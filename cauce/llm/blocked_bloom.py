@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = 8
 #: Keys a block should get, and most blocks: the filter has at most 4 MiB.
@@ -48,3 +49,38 @@ def maybe_listed(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     """False only where the hash was never put in."""
     block, bit = _places(h, len(filter_))
     return ((filter_[block] >> bit) & np.uint32(1)).all(axis=1)
+
+
+def blocks_for(n: int) -> int:
+    """Blocks of a filter of ``n`` keys: a power of two, up to the fixed most."""
+    blocks = 1
+    while blocks < min(MAX_BLOCKS, -(-n // KEYS_PER_BLOCK)):
+        blocks *= 2
+    return blocks
+
+
+def rows_without(rows: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` (never null) is not in ``listed``, a written table.
+
+    Rows that the filter rules out stay where they are; only the others, listed
+    or not, are moved and meet the list itself in a join.
+    """
+    n = listed.count()
+    if not n:
+        return rows
+    hashed = F.xxhash64(column)
+    held = rows.sparkSession.sparkContext.broadcast(bloom(listed.select(hashed.alias("h")), blocks_for(n)))
+    extra = "h"
+    while extra in (c.lower() for c in rows.columns):
+        extra += "_"
+    source = rows.withColumn(extra, hashed)
+
+    def part(suspected: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                found = maybe_listed(held.value, batch.column(batch.num_columns - 1).to_numpy())
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(found == suspected))
+
+        return source.mapInArrow(run, T.StructType(rows.schema.fields))
+
+    return part(False).unionByName(part(True).join(listed.select(column), column, "left_anti").select(*rows.columns))

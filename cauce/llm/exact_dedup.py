@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cauce.llm.blocked_bloom import rows_without
 from cauce.llm.common import numbered, row_number_of, staged
 
 BLOCK_BYTES = 4096
@@ -150,5 +151,5 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: st
 def kept_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of the rows that stay."""
     rows, number = numbered(docs, "documents")
-    dropped = _decided(rows, block_bytes, id_col, text_col, number).where(~F.col("kept")).select(F.col("row").alias(number))
-    return rows.join(dropped, number, "left_anti").select(*docs.columns)
+    dropped = staged(_decided(rows, block_bytes, id_col, text_col, number).where(~F.col("kept")).select(F.col("row").alias(number)), "dropped")
+    return rows_without(rows, dropped, number).select(*docs.columns)

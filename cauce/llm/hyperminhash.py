@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cauce.llm.blocked_bloom import KEYS_PER_BLOCK, MAX_BLOCKS, bloom, maybe_listed
+from cauce.llm.blocked_bloom import blocks_for, bloom, maybe_listed, rows_without
 from cauce.llm.common import Tables, Words, mix64, numbered, row_number_of, slices, staged
 from cauce.llm.components import components
 
@@ -307,7 +307,7 @@ def link_nodes(members: DataFrame, held: DataFrame, sets: DataFrame, percent: in
 def _buckets(rows: DataFrame, others: DataFrame) -> DataFrame:
     """(key, node, size) of the buckets with two nodes or more. Of buckets with
     the same nodes, as copies with few changes have in most bands, one stays."""
-    keyed = rows.select(F.col("row").alias("node"), "keys").join(others.withColumnRenamed("row", "node"), "node", "left_anti").select("node", F.explode("keys").alias("key"))
+    keyed = rows_without(rows.select(F.col("row").alias("node"), "keys"), others.withColumnRenamed("row", "node"), "node").select("node", F.explode("keys").alias("key"))
     held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
     one = held.where("size > 1").groupBy("size", "least", "x", "y").agg(F.min("key").alias("key"))
     return keyed.join(one.select("key", "size"), "key")
@@ -315,10 +315,7 @@ def _buckets(rows: DataFrame, others: DataFrame) -> DataFrame:
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the wanted nodes. A Bloom filter of their ids spares the other texts the way."""
-    blocks, n = 1, wanted.count()
-    while blocks < min(MAX_BLOCKS, -(-n // KEYS_PER_BLOCK)):
-        blocks *= 2
-    sets = shingle_sets(docs, id_col, text_col, bloom(wanted.select(id_hash("id").alias("h")), blocks)).dropDuplicates(["id", "print"])
+    sets = shingle_sets(docs, id_col, text_col, bloom(wanted.select(id_hash("id").alias("h")), blocks_for(wanted.count()))).dropDuplicates(["id", "print"])
     pick = (sets["id"].eqNullSafe(wanted["id"])) & (sets["print"] == wanted["print"])
     return sets.join(wanted.select("node", "id", "print"), pick).select("node", "set")
 
@@ -364,4 +361,4 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows, number = numbered(docs, "documents")
     dropped = near_duplicates(rows, id_col, text_col, number, percent).where(~F.col("kept")).select(F.col("row").alias(number))
-    return rows.join(dropped, number, "left_anti").select(*docs.columns)
+    return rows_without(rows, dropped, number).select(*docs.columns)

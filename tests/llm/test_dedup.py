@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from cauce.llm import exact_dedup, hyperminhash
+from cauce.llm import blocked_bloom, exact_dedup, hyperminhash
 from cauce.llm.components import components
 from tests.llm.conftest import AWKWARD, words
 
@@ -41,6 +41,48 @@ def test_exact_awkward(awkward, documents):
     assert sorted((str(r["doc_id"]), r["kept"]) for r in exact_dedup.exact_duplicates(twice).collect()) == [("1", False), ("1", True), ("None", False), ("None", True)]
 
 
+def test_rows_without_a_list(spark, documents, monkeypatch):
+    """As an anti-join, repeated rows and all columns kept, also when the filter takes every row for listed."""
+    rows = documents([(i // 2, f"t{i}") for i in range(2000)]).withColumnRenamed("row", "H")
+    for most in (blocked_bloom.MAX_BLOCKS, 1):
+        monkeypatch.setattr(blocked_bloom, "MAX_BLOCKS", most)
+        for listed in (range(0, 1000, 3), range(5000, 5010), range(0)):
+            table = spark.createDataFrame([(i,) for i in listed], "doc_id long")
+            left = blocked_bloom.rows_without(rows, table, "doc_id")
+            assert left.columns == rows.columns
+            assert sorted((r["doc_id"], r["text"], r["ids"]) for r in left.collect()) == sorted((i // 2, f"t{i}", b"x") for i in range(2000) if i // 2 not in listed)
+
+
+def _moved(df):
+    """Rows that a frame's exchanges wrote."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            plan.append(node.plan())
+        else:
+            total += node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+            plan += [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("kept", [exact_dedup.kept_documents, hyperminhash.kept_documents])
+def test_rows_that_stay_are_not_moved(spark, documents, kept):
+    """Of 3000 texts 100 are copies: the last step moves the copies and few others."""
+    rows = [(i, " ".join(words(i, 12, 10**6))) for i in range(2900)]
+    rows += [(9000 + i, t) for i, t in rows[:100]]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = kept(documents(rows))
+        assert _moved(out) < 400 and out.count() == 2900
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 130)] + [(7, k) for k in range(200, 260)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(25)] + [(5, 5)]
