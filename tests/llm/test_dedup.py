@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from cauce.llm import blocked_bloom, exact_dedup, hyperminhash
+from cauce.llm import blocked_bloom, common, exact_dedup, hyperminhash, queries
 from cauce.llm.components import components
 from tests.llm.conftest import AWKWARD, words
 
@@ -184,3 +184,18 @@ def test_layouts_meet():
     for n in range(1, 4000, 7):
         for m in range(-(-n * 85 // 100), n + 1, max(1, n // 20)):
             assert set(hyperminhash.layouts(n)) & {hyperminhash.repetitions(m)}
+
+
+def test_query_bounds_its_batches(spark, documents, tmp_path):
+    """op2 cuts Arrow batches by bytes, so that ten thousand long texts do not meet in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(i, " ".join(words(i % 20, 30, 10**6))) for i in range(40)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 26))
+    try:
+        found = {r["doc_id"]: r["component_id"] for r in queries.op2_hyperminhash(spark, str(tmp_path)).collect()}
+        assert int(spark.conf.get(key)) <= common.ARROW_BYTES
+        assert found == {i: i % 20 for i in range(40)}
+    finally:
+        spark.conf.set(key, before)
